@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,17 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "heron
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_heronry_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "heronry.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(here.rglob("*.py")):
+            out.write(source, source.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    context._heronry_shipped = True
