@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import star
+from ..streaming import windows
+from . import events, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (star,):
+for _module in (star, events, windows):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
