@@ -37,7 +37,8 @@ def streamed_daily_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """daily_types() over the event table, read as a stream of files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    # by a pattern: a stream takes a plain path for a folder, and the table may be a single file
+    events = spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
     return run_available(daily_types(events))
 
 
