@@ -45,8 +45,8 @@ def streamed_daily_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"streamed_daily_types": streamed_daily_types}
 ORACLE_SQL = {
     "streamed_daily_types": """
-        SELECT 86400000000 * (epoch_us(ts) // 86400000000) AS from_at, event_type, count(*) AS n_events,
-               CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value
-        FROM events GROUP BY ALL
-        HAVING from_at + 86400000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",
+        SELECT from_at, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value
+        FROM (SELECT *, 86400000000 * (epoch_us(ts) // 86400000000) AS from_at FROM events)
+        WHERE from_at + 86400000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)
+        GROUP BY from_at, event_type""",
 }
