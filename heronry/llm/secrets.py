@@ -178,7 +178,11 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = MORE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
     kinds = [r.kind for r in BASE + tuple(rules)]
     rows = scan(docs, rules)
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{BASE[k].kind}") for k in range(len(BASE))]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{BASE[kind].kind}")
+
+    counts = map(count, range(len(BASE)))
     return rows.select("doc_id", *counts, F.sha2(_text(F.col("base_spans"), kinds), 256).alias("base_sha256"), _text(F.col("spans"), kinds).alias("spans"))
 
 
