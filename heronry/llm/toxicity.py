@@ -5,8 +5,9 @@ w.x - t_k with t_0 < t_1 < t_2. The result is the expected grade, and P(grade >
 
 Features are words without the marks around them, and the first 4 to 7 letters of words, as these stand for stems with
 any ending. Of all of them those are kept that the labelled rows tie to toxicity (chi squared, and more often in toxic
-rows). The labels know toxic or not only; the grade of a toxic row is taken from how many of its words carry such
-features: 1 below 2 %, 2 below 5 %, 3 above.
+rows). A word stands for the one of its kept features that has the highest chi squared, so an unseen ending weighs as much
+as one seen in learning. The labels know toxic or not only; the grade of a toxic row is taken from how many different kept features
+its words stand for: 1 below three, 2 below six, 3 from six.
 
 Limits of learning: at most MOST_LABELLED rows with a label, those with the lowest hash of their id, and MOST_FEATURES
 features. Scoring covers all rows and whole texts.
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,8 +34,8 @@ from .common import written
 
 MOST_LABELLED, MOST_FEATURES = 20_000, 4_096
 STEMS = range(4, 8)
-#: Shares of flagged words at which grades 2 and 3 begin.
-GRADE_SHARES = (0.02, 0.05)
+#: Numbers of features at which grades 2 and 3 begin.
+GRADES_FROM = (3, 6)
 #: A feature must stand in so many toxic rows, have this chi squared at least and this log odds ratio.
 LEAST_TOXIC_ROWS, LEAST_CHI2, LEAST_LOG_ODDS = 5, 30.0, 3.5
 _MARKS = ".,;:!?#*$%&|\"'()[]{}<>-_~`"
@@ -71,6 +71,7 @@ def _words(text: pa.Scalar) -> list[bytes]:
 @dataclass
 class Model:
     features: np.ndarray  # sorted hashes
+    ranks: np.ndarray  # of the features, by chi squared
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -79,7 +80,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - sums[:, None], -500, 500)))
 
 
-def fitted(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fitted(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of highest penalised likelihood, by Adam on the whole sample.
 
     Both classes get the same total weight. Thresholds are t_0 and the logarithms of their steps, so they stay ordered.
@@ -132,38 +133,42 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     if n1 == 0 or n1 == n:
         share = n1 / n if n else 0.0
         level = np.log((1 - share + 1e-9) / (share + 1e-9))
-        return Model(np.zeros(0, np.int64), np.zeros(0), level + np.array([0.0, 1.0, 2.0]))
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), level + np.array([0.0, 1.0, 2.0]))
     df = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("a"), F.sum("toxic").alias("b"))
     df = df.where(F.col("b") >= LEAST_TOXIC_ROWS)
     b, c = F.col("b"), F.col("a") - F.col("b")
     odds = F.log((b + 0.5) * (n - n1 - c + 0.5) / ((c + 0.5) * (n1 - b + 0.5)))
     chi2 = n * F.pow(b * (n - n1 - c) - c * (n1 - b), F.lit(2)) / (F.lit(float(n1)) * (n - n1) * (b + c) * (n - b - c) + 1e-9)
     ranked = df.select("feature", odds.alias("odds"), chi2.alias("chi2")).where((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("chi2") >= LEAST_CHI2))
-    features = np.sort(np.array([r[0] for r in ranked.orderBy(F.desc("chi2"), "feature").limit(most_features).select("feature").collect()], np.int64))
+    best = np.array([r[0] for r in ranked.orderBy(F.desc("chi2"), "feature").limit(most_features).select("feature").collect()], np.int64)
+    ranks = np.argsort(best)
+    features = best[ranks]
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(lambda w: _known(w, features))
+        kept = _Kept(lambda w: _known(w, features, ranks))
         for batch in batches:
-            found, shares = [], []
+            found = []
             for t in batch[2]:
-                hits = [kept[w] for w in _words(t)]
-                flagged = [h for h in hits if len(h)]
+                flagged = [h for h in map(kept.__getitem__, set(_words(t))) if len(h)]
                 found.append(np.unique(np.concatenate(flagged)) if flagged else np.zeros(0, np.int64))
-                shares.append(len(flagged) / max(1, len(hits)))
-            yield pa.RecordBatch.from_arrays([batch[1].cast(pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(shares)], ["toxic", "columns", "share"])
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1].cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "columns"])
 
-    sample: pd.DataFrame = texts.mapInArrow(graded, "toxic int, columns array<long>, share double").toPandas()  # at most most_labelled rows
-    grades = np.where(sample["toxic"] > 0, 1 + np.searchsorted(GRADE_SHARES, sample["share"], "right"), 0)
-    order = np.lexsort((sample["share"].to_numpy(), [len(c) for c in sample["columns"]], grades))  # sums in a fixed order
-    weights, thresholds = fitted([np.asarray(sample["columns"].iloc[i], np.int64) for i in order], grades[order], len(features))
-    return Model(features, weights, thresholds)
+    sample = texts.mapInArrow(graded, "doc_id long, toxic int, columns array<long>").toPandas()  # at most most_labelled rows
+    sample = sample.sort_values("doc_id", kind="stable")  # sums in a fixed order
+    columns = [np.asarray(c, np.int64) for c in sample["columns"]]
+    grades = np.where(sample["toxic"] > 0, 1 + np.searchsorted(GRADES_FROM, [len(c) for c in columns], "right"), 0)
+    weights, thresholds = fitted(columns, grades, len(features))
+    return Model(features, ranks, weights, thresholds)
 
 
-def _known(word: str, features: np.ndarray) -> np.ndarray:
-    """The places in `features` of those that the word has."""
+def _known(word: str, features: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The place in `features` of the best one that the word has; empty if it has none."""
     hashes = np.array(word_features(word), np.int64)
-    at = np.searchsorted(features, hashes)
-    return at[(at < len(features)) & (features[np.minimum(at, max(0, len(features) - 1))] == hashes)] if len(features) and len(hashes) else np.zeros(0, np.int64)
+    if not len(features) or not len(hashes):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
+    at = at[features[at] == hashes]
+    return at[[ranks[at].argmin()]] if len(at) else at
 
 
 def score(docs: DataFrame, model: Model, new: tuple[str, str, str] = ("toxic_probability", "expected_severity", "toxic")) -> DataFrame:
@@ -174,7 +179,7 @@ def score(docs: DataFrame, model: Model, new: tuple[str, str, str] = ("toxic_pro
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
-        kept = _Kept(lambda w: _known(w, model.features))
+        kept = _Kept(lambda w: _known(w, model.features, model.ranks))
         for batch in batches:
             sums = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column("text").cast(pa.binary())):

@@ -25,7 +25,7 @@ def test_learns_words_and_stems(spark):
     texts, labels = _corpus()
     texts += ["all is well here", "you " + "loweizzz", words(random.Random(9), 20_000, 3000), "IDIOT!"]
     df = clashing(docs_of(spark, texts))
-    out = score(df, fit(df, clashing(spark.createDataFrame(labels, "doc_id long, toxic int"))))
+    out = score(df, fit(df, spark.createDataFrame(labels, "doc_id long, toxic int")))
     assert set(out.columns) == set(df.columns) | {"toxic_probability", "expected_severity", "toxic"}
     rows = {r["doc_id"]: r for r in out.collect()}
     assert np.mean([rows[i]["toxic"] == bool(t) for i, t in labels]) > 0.98
