@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from .common import written
 
@@ -91,24 +92,34 @@ def encoded(text: str, ids: WordIds) -> bytes:
     return b"".join(b"".join(map(ids.__getitem__, _WORD.findall(part.lower()))) for part in segments(text))
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "piece_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids binary]): the documents' ids, cut every `capacity` ids."""
+    """PIECES, and with them ids as a binary: the documents' ids, cut every `capacity` ids. A piece_id is made of the task's
+    number and the piece's place in it, so it is to be kept in a table before it is used twice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        piece_id = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
                 ids = encoded(text.as_py() or "", store) + end
                 for start in range(0, len(ids), 4 * capacity):
                     part = ids[start : start + 4 * capacity]
-                    rows.append((doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+                    rows.append((piece_id, doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))
+                    piece_id += 1
+                    held += len(part) if with_ids else 100
+                    if held > 8_000_000:
+                        yield made(rows)
+                        rows, held = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        arrays = [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())] * with_ids
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
@@ -169,21 +180,30 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """The pieces of docs with sequence_id and offset: gapless in each sequence, and in all at most `capacity` ids."""
-    spark = docs.sparkSession
+    """The pieces of docs (doc_id, start, length, ids_crc32, doc_tokens) with sequence_id and offset, which are gapless in each
+    sequence and in all at most `capacity` ids, and with the ids unless they aren't wanted. Ids move at most once, in the join
+    that brings pieces and places together."""
     cut = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    out = places(cut.drop("ids"), capacity)
+    if with_ids:
+        out = out.join(cut.select("piece_id", "ids"), "piece_id")
+    return out.drop("piece_id")
+
+
+def places(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The columns of `cut` (PIECES, as a table that is kept) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity)
-    known = spark.sparkContext.broadcast((rows[:, 0] << 44 | rows[:, 1], rows))  # bounded like the plan
+    known = cut.sparkSession.sparkContext.broadcast((rows[:, 0] << 44 | rows[:, 1], rows))  # bounded like the plan
 
     salts = max(1, -(-sum(histogram.values()) // RANKED_TOGETHER))
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("piece_id"), F.lit(salts)))
     sizes = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     sizes = sizes.select("length", "salt", before.alias("before"))
-    place = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    place = Window.partitionBy("length", "salt").orderBy("piece_id")
     ranked = cut.withColumn("place", F.row_number().over(place)).join(sizes, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("place") - 1).drop("salt", "before", "place")
+    ranked = ranked.select(*(c.split()[0] for c in PIECES.split(", ")), (F.col("before") + F.col("place") - 1).alias("rank"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, rows = known.value
@@ -191,10 +211,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(first, length << 44 | rank, "right") - 1
             sequence = rows[at, 3] + rank - rows[at, 1]
-            keep = [i for i, c in enumerate(batch.schema.names) if c != "rank"]
-            arrays = [batch[i] for i in keep] + [pa.array(sequence), pa.array(rows[at, 4])]
-            yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[i] for i in keep] + ["sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(rows[at, 4])], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    columns = [c for c in ranked.columns if c != "rank"]
-    schema = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in columns)
-    return ranked.mapInArrow(placed, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(placed, PIECES + ", sequence_id long, offset long")
