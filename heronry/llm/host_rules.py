@@ -72,17 +72,18 @@ def hosts(measured: DataFrame, failed: str = BASE_FAILED) -> DataFrame:
     """(host, n, n_failed, prior_a, prior_b, rate, rejected): the shrunk failure rate of each host, and the verdict."""
     failures = F.sum(F.expr(failed).cast("long"))
     by_host = written(measured.groupBy("host").agg(F.count("*").alias("n"), failures.alias("n_failed")), "hosts")
-    n, f, k = F.sum("n"), F.sum("n_failed"), F.count("*")
+    n, f = F.sum("n"), F.sum("n_failed")
     squares = F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n"))
-    overall = by_host.agg((f / n).alias("m"), (squares / n - F.pow(f / n, F.lit(2))).alias("v"), (k / n).alias("per_n"), n.alias("all_n"))  # one row
-    m, v = F.col("m"), F.col("v")
-    chance = m * (1 - m) * F.col("per_n")  # what the hosts' rates vary by chance
-    strength = F.when((v > chance) & (m * (1 - m) > v), (m * (1 - m) - v) / (v - chance)).otherwise(F.col("all_n"))
-    prior = overall.select((m * strength + 1e-6).alias("prior_a"), ((1 - m) * strength + 1e-6).alias("prior_b"))
-    total = F.col("n") + F.col("prior_a") + F.col("prior_b")
-    rate = (F.col("n_failed") + F.col("prior_a")) / total
+    row = by_host.agg(n.alias("n"), (f / n).alias("m"), (squares / n).alias("s"), F.count("*").alias("k")).first()  # sums over hosts
+    m = row["m"] or 0.0
+    varies, chance, alone = (row["s"] or 0.0) - m * m, m * (1 - m) * row["k"] / (row["n"] or 1), m * (1 - m)
+    # without more variance than chance gives, the prior weighs as much as all rows
+    strength = (alone - varies) / (varies - chance) if chance < varies < alone else float(row["n"] or 0)
+    prior_a, prior_b = m * strength + 1e-6, (1 - m) * strength + 1e-6
+    total = F.col("n") + prior_a + prior_b
+    rate = (F.col("n_failed") + prior_a) / total
     low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (total + 1))
-    return by_host.join(F.broadcast(prior)).withColumns({"rate": rate, "rejected": low > MOST_FAILING})  # one row is broadcast
+    return by_host.withColumns({"prior_a": F.lit(prior_a), "prior_b": F.lit(prior_b), "rate": rate, "rejected": low > MOST_FAILING})
 
 
 def verdicts(docs: DataFrame, host: str = "source", failed: str = BASE_FAILED) -> DataFrame:
