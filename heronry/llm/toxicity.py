@@ -80,7 +80,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - sums[:, None], -500, 500)))
 
 
-def fitted(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fitted(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, ridge: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of highest penalised likelihood, by Adam on the whole sample.
 
     Both classes get the same total weight. Thresholds are t_0 and the logarithms of their steps, so they stay ordered.
