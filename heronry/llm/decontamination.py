@@ -2,14 +2,14 @@
 
 A text becomes a sequence of tokens: runs of letters and digits in lower case. Numbers, names (capitalised words within a
 sentence) and units (after a number) are replaced by typed placeholders; what stood there is kept beside the token. Every
-window of eight tokens of a document is looked up among those of the benchmark, so a question with other numbers or names
+window of five tokens of a document is looked up among those of the benchmark, so a question with other numbers or names
 is found as well. Windows that lie on one line (the same distance between the places in document and item) must also fill
 the item's slots consistently: one value of the item stands for one value of the document. An item counts as contained
 once a given share of its windows is found on such lines.
 
 What is defined for odd input:
 - Null or empty texts have no tokens and are never contaminated; items without tokens are never found.
-- Items of fewer than eight tokens are looked up whole. Windows with fewer literal tokens than half their length are not
+- Items of fewer than five tokens are looked up whole. Windows with fewer literal tokens than half their length are not
   looked up, as they would fit anything.
 - Rows with the same doc_id are judged together. Rows with a null doc_id are judged together under null in the result,
   and the filter keeps them. Rows of the benchmark with the same item_id count as one item; null ids are left out.
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEAST_COVERAGE = 8, 0.5
+#: Of an item of n tokens, one that is changed spoils at most WINDOW of its n - WINDOW + 1 windows.
+WINDOW, LEAST_COVERAGE = 5, 0.5
 #: Benchmark windows that may be broadcast (24 bytes each and what their slots hold); beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 # Units that are told from other words after a number.
@@ -84,14 +85,14 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
 def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, coverage) for each document and item that it contains.
 
-    The documents are read once for each window size in use (one, unless the benchmark has items of under eight tokens)
+    The documents are read once for each window size in use (one, unless the benchmark has items of under five tokens)
     and never shuffled: their windows stream past the benchmark's, and only rows that met go on. The benchmark's side is
     counted first; beyond MOST_BROADCAST windows the join is left to Spark, which shuffles templates.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     lengths = benchmark.select(F.least(F.size(_tokens(F.col("text"))), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
-    sizes = sorted(r["n"] for r in lengths.collect())  # at most eight numbers
+    sizes = sorted(r["n"] for r in lengths.collect())  # at most WINDOW numbers
     parts = []
     for size in sizes or [WINDOW]:
         items = item_windows(benchmark, size)

@@ -7,7 +7,7 @@ from .helpers import clashing, docs_of, odd_texts, words
 ITEMS = [
     (1, "A train leaves Paris at 9 and travels 120 km to reach the town of Lyon before the 11 o'clock bell rings twice"),
     (2, "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from a wall"),
-    (3, "short item of five words"),
+    (3, "item of four words"),
     (4, None),
     (None, "the quick brown fox jumps over the lazy dog while seven sleepy cats watch from a wall"),
     (5, "1 2 3 4 5 6 7 8 9 10"),
@@ -27,11 +27,12 @@ def test_finds_copies_and_other_numbers(spark):
         f"{fill()} THE QUICK, brown fox -- jumps over the lazy dog;\n\nwhile seven sleepy cats watch from a wall!",
         f"{fill()} the quick brown fox jumps over nothing {fill()}",  # too little of it
         fill(),
-        f"{fill()} short item of five words {fill()}",
+        f"{fill()} item of four words {fill()}",
+        f"{fill()} the quick brown fox jumps over the big dog while seven sleepy cats watch from a wall",  # one word changed
         "9 8 7 6 5 4 3 2 1 0 11 12",  # numbers alone are no question
     ]
     rows = contained_items(clashing(docs_of(spark, texts)), benchmark(spark)).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 1), (1, 1), (2, 2), (5, 3)}
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 1), (1, 1), (2, 2), (5, 3), (6, 2)}
     assert all(r["coverage"] >= 0.5 and r["matched_windows"] <= r["item_windows"] for r in rows)
 
 
