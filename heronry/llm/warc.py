@@ -62,6 +62,7 @@ def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path with scheme (of a shared disk, HDFS or an object store), and the path there."""
     return pa.fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", uri))
 
 
@@ -83,7 +84,10 @@ def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, most_
 
     An archive is written under a name of its attempt and renamed once it is whole, so a lost executor leaves none half.
     """
-    folder = folder or new_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder or new_path(spark, "warc"))
+    # tasks write past Spark: they must take a path without scheme for the same file system as Spark does
+    folder = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
     fs, path = _place(folder)
     fs.create_dir(path)
 

@@ -51,7 +51,7 @@ def test_chunks_put_together_are_the_payload(spark):
         for r in got:
             at += len(r["data"])
             assert r["bytes_so_far"] == at and r["digest_so_far"] == hashlib.sha1(data[:at]).hexdigest()
-    files = sorted(Path(folder.removeprefix("file://")).iterdir())
+    files = sorted(Path(folder.removeprefix("file:")).iterdir())
     assert len(files) > 2 and all(f.name.startswith("part-") for f in files)
     assert gzip.decompress(files[0].read_bytes()).startswith(b"WARC/1.1\r\n")
 
