@@ -57,7 +57,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words seen before; it starts anew at `most` words, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -115,6 +115,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 drop_written(old)
         left, labels = after, now
     if labels is None:
-        return edges.select(F.col(a).cast("long").alias("node"), F.col(a).cast("long").alias("component")).where("false")
+        return edges.sparkSession.createDataFrame([], "node long, component long")
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     return labels.unionByName(roots.join(labels.select("node"), "node", "left_anti"))

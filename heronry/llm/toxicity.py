@@ -53,7 +53,7 @@ def word_features(word: str) -> tuple[int, ...]:
 class _Kept(dict):
     """What `of` gives for a word (bytes), kept for at most `most` words."""
 
-    def __init__(self, of, most: int = 300_000):
+    def __init__(self, of, most: int = 200_000):
         super().__init__()
         self.of, self.most = of, most
 
@@ -121,10 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     texts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(word_features)
+        kept = _Kept(word_features, 50_000)
         for batch in batches:
-            words = [_words(t) for t in batch[2]]
-            lists = [np.unique(np.array([f for w in set(ws) for f in kept[w]], np.int64)) for ws in words]
+            lists = [np.unique(np.array([f for w in set(_words(t)) for f in kept[w]], np.int64)) for t in batch[2]]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1].cast(pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
 
     rows = written(texts.mapInArrow(featured, "doc_id long, toxic int, features array<long>"), "toxic-features")
@@ -147,10 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(lambda w: _known(w, features, ranks))
         for batch in batches:
-            found = []
-            for t in batch[2]:
-                flagged = [h for h in map(kept.__getitem__, set(_words(t))) if len(h)]
-                found.append(np.unique(np.concatenate(flagged)) if flagged else np.zeros(0, np.int64))
+            found = [_places(t, kept) for t in batch[2]]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1].cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "columns"])
 
     sample = texts.mapInArrow(graded, "doc_id long, toxic int, columns array<long>").toPandas()  # at most most_labelled rows
@@ -161,14 +157,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     return Model(features, ranks, weights, thresholds)
 
 
-def _known(word: str, features: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The place in `features` of the best one that the word has; empty if it has none."""
+def _known(word: str, features: np.ndarray, ranks: np.ndarray) -> int:
+    """The place in `features` of the best one that the word has; -1 if it has none."""
     hashes = np.array(word_features(word), np.int64)
     if not len(features) or not len(hashes):
-        return np.zeros(0, np.int64)
+        return -1
     at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
     at = at[features[at] == hashes]
-    return at[[ranks[at].argmin()]] if len(at) else at
+    return int(at[ranks[at].argmin()]) if len(at) else -1
+
+
+def _places(text: pa.Scalar, kept: _Kept) -> np.ndarray:
+    """The places of the features that a text's words stand for, each once."""
+    found = set(map(kept.__getitem__, set(_words(text))))
+    found.discard(-1)
+    return np.array(sorted(found), np.int64)
 
 
 def score(docs: DataFrame, model: Model, new: tuple[str, str, str] = ("toxic_probability", "expected_severity", "toxic")) -> DataFrame:
@@ -183,9 +186,7 @@ def score(docs: DataFrame, model: Model, new: tuple[str, str, str] = ("toxic_pro
         for batch in batches:
             sums = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column("text").cast(pa.binary())):
-                flagged = [h for h in map(kept.__getitem__, set(_words(t))) if len(h)]
-                if flagged:
-                    sums[i] = model.weights[np.unique(np.concatenate(flagged))].sum()
+                sums[i] = model.weights[_places(t, kept)].sum()
             above = model.above(sums)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, *new])
 
