@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from heronry.llm.common import components
-from heronry.llm.near_dup import keep_one_of_each, near_duplicates
+from heronry.llm.near_dup import _near, keep_one_of_each, near_duplicates, sketch
 
 from .helpers import clashing, docs_of, odd_texts, words
 
@@ -82,3 +84,19 @@ def test_components_of_a_path_and_a_star(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)} | {299: 299, 300: 299}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketch_filter_keeps_what_is_alike():
+    rng = np.random.default_rng(1)
+    for size in (1, 4, 7, 20, 150, 3000):
+        for _ in range(60):
+            members = np.unique(rng.integers(0, 2**64, 2 * size, dtype=np.uint64))
+            rng.shuffle(members)
+            common = -(-3 * size // 4)  # 0.75 alike: the rest of the union is dealt to the two sides
+            rest = members[common:size]
+            half = len(rest) // 2
+            a, b = np.sort(np.concatenate([members[:common], rest[:half]])), np.sort(np.concatenate([members[:common], rest[half:]]))
+            assert _near(np.array([len(b)]), len(a), sketch(b)[None], sketch(a))[0] > 0
+            if size >= 150:
+                c = np.sort(np.concatenate([members[: size // 2], members[size : size + size // 2]]))
+                assert _near(np.array([len(c)]), len(a), sketch(c)[None], sketch(a))[0] == 0
