@@ -55,13 +55,30 @@ class WordIds(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.encode = tokenizer.encode
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)  # which ids end a word
+        self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_WORDS:
+    def learn(self, words: list[str]) -> None:
+        """Encodes those that aren't known yet in one go, apart by spaces."""
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > MOST_WORDS:
             self.clear()
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) == len(part):  # else each is encoded when it is looked up
+                raw = ids.tobytes()
+                self.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+
+    def __missing__(self, word: str) -> bytes:
         ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return ids
 
+    def of(self, words: list[str]) -> bytes:
+        self.learn(words)
+        return b"".join(map(self.__getitem__, words))
+
 
 _kept: dict[str, WordIds] = {}
 
@@ -89,7 +106,7 @@ def encoded(text: str, ids: WordIds) -> bytes:
     """The ids of a text, as little-endian 32-bit numbers; the same as those of the tokenizer for the whole text."""
     if "<|" in text or not _PLAIN.fullmatch(text):  # a special token's name, or letters that the rule above doesn't cover
         return np.array(ids.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(b"".join(map(ids.__getitem__, _WORD.findall(part.lower()))) for part in segments(text))
+    return b"".join(ids.of(_WORD.findall(part.lower())) for part in segments(text))
 
 
 PIECES = "piece_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
