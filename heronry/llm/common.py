@@ -78,26 +78,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Twice the bits of an id: more rounds than any links between long ids need.
+MOST_ROUNDS = 128
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of links a-b (long ids) as (node, component): the smallest id that can be reached.
 
-    Each round every node takes its smallest neighbour as parent, parents are followed twice, and the links are
-    redrawn between what is left; loops and repeats go. The number of links falls by a factor each round, so a path of
-    n nodes takes about log n rounds. Nulls and self-links are ignored. All of it is joins and aggregates over tables;
-    nothing but one count comes to the driver. Hub nodes are only ever aggregated with a partial min, or stand on the
-    side of a join that adaptive execution can split.
+    Each round every node takes its smallest neighbour as parent, parents are followed to the root (each step doubles
+    the way), and the links are redrawn between roots; loops and repeats go. A root that still has no smaller neighbour
+    after a round has taken in all its neighbours, so two rounds leave at most half of the nodes that had links: no order
+    of ids takes more than 2 log n rounds, whatever the shape. Nulls and self-links are ignored. All of it is joins and
+    aggregates over tables; nothing but whether a table is empty comes to the driver. Hub nodes are only ever aggregated
+    with a partial min, or stand on the side of a join that adaptive execution can split.
     """
     left = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
     left = written(left, "links")
     labels = None
-    for _ in range(64):
+    for _ in range(MOST_ROUNDS):
         if left.isEmpty():
             break
         up = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))  # roots are those without a row
-        for _ in range(2):
-            over = up.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
-            up = up.join(over, "parent", "left").select("node", F.coalesce("over", "parent").alias("parent"))
-        up = written(up, "parents")
+        moved, old = True, None
+        while moved:  # parents are smaller than their nodes, so there is an end
+            for _ in range(2):
+                over = up.select(F.col("node").alias("parent"), F.col("parent").alias("over"))
+                up = up.join(over, "parent", "left").select("node", F.coalesce("over", "parent").alias("parent"), F.col("over").isNotNull().alias("moved"))
+            up = written(up, "parents")
+            if old is not None:
+                drop_written(old)
+            moved, old = not up.where("moved").isEmpty(), up
         ends = left
         for end in ("a", "b"):
             to = up.select(F.col("node").alias(end), F.col("parent").alias(f"{end}_up"))
@@ -114,6 +124,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             if old is not None:
                 drop_written(old)
         left, labels = after, now
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"links are left after {MOST_ROUNDS} rounds")
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     roots = labels.select(F.col("component").alias("node"), "component").distinct()

@@ -86,6 +86,13 @@ def test_components_of_a_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_whose_ids_rise_along_them(spark):
+    starts = {0: (300, 1), 10_000: (5000, 1), 20_000: (3000, 3), 30_000: (3000, 5)}  # nodes, and to how many next ones each is linked
+    links = [(at + i, at + i + k) for at, (n, reach) in starts.items() for i in range(n) for k in range(1, reach + 1) if i + k < n]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {at + i: at for at, (n, _) in starts.items() for i in range(n)}
+
+
 def test_sketch_filter_keeps_what_is_alike():
     rng = np.random.default_rng(1)
     for size in (1, 4, 7, 20, 150, 3000):
