@@ -99,23 +99,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signatures, SIGNATURES)
 
 
-def clash_id(digest: bytes) -> int:
-    """What a class goes by if its doc_id stands in several classes: a negative number from its digest."""
-    return -1 - int(digest.hex()[:15], 16)
-
-
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(cls, members array<long>) of each row of (doc_id, text, clash)."""
+    """(digest, members array<long>) of each row of (doc_id, text)."""
 
     def sets(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", hashes) for t in batch[1]]
-            names = [clash_id(xxhash.xxh128_digest(h.tobytes())) if c else i for i, c, h in zip(batch[0].to_pylist(), batch[2].to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["cls", "members"])
+            found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", hashes) for t in batch[0]]
+            digests = [xxhash.xxh128_digest(h.tobytes()) for h in found]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["digest", "members"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "clash")
-    return rows.mapInArrow(sets, "cls long, members array<long>")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(sets, "digest binary, members array<long>")
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -278,9 +272,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     first = leader_pairs(rows).groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a"))
     first = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    met = rows.select("cls").distinct().join(classes.select("cls", "doc_id", "clash"), "cls")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.select("doc_id", "clash").distinct(), "doc_id")
-    sets = written(shingle_sets(texts).groupBy("cls").agg(F.first("members").alias("members")), "sets")
+    met = rows.select("cls").distinct().join(classes.select("cls", "doc_id", "digest"), "cls")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.select("doc_id").distinct(), "doc_id")
+    sets = shingle_sets(texts).groupBy("digest").agg(F.first("members").alias("members"))  # an id may have other texts as well
+    sets = written(sets.join(met.select("cls", "digest"), "digest").select("cls", "members"), "sets")
     links = written(confirmed(first, sets), "confirmed")
     labels = components(links)
 

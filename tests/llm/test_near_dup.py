@@ -65,6 +65,16 @@ def test_repeated_and_null_ids(spark):
     assert found(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])) == brute(rows)
 
 
+def test_other_texts_of_an_id_do_not_stand_in(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(12):  # 100 + k stands with a text of its own and with one that goes by the smaller id k
+        own, other = words(rng, 60), words(rng, 60)
+        both = [(100 + k, own), (100 + k, other)]
+        rows += (both if k % 2 else both[::-1]) + [(k, other), (200 + k, varied(rng, own, 1)), (300 + k, varied(rng, other, 1))]
+    assert found(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])) == brute(rows)
+
+
 def test_no_rows(spark):
     assert near_duplicates(docs_of(spark, [])).count() == 0
     assert keep_one_of_each(docs_of(spark, [])).count() == 0
