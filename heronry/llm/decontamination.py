@@ -3,14 +3,15 @@
 A text becomes a sequence of tokens: runs of letters and digits in lower case. Numbers, names (capitalised words within a
 sentence) and units (after a number) are replaced by typed placeholders; what stood there is kept beside the token. Every
 window of five tokens of a document is looked up among those of the benchmark, so a question with other numbers or names
-is found as well. Windows that lie on one line (the same distance between the places in document and item) must also fill
-the item's slots consistently: one value of the item stands for one value of the document. An item counts as contained
-once a given share of its windows is found on such lines.
+is found as well. A window is looked up in two forms: with placeholders, and as it stands in lower case.
+Windows with placeholders that lie on one line (the same distance between the places in document and item) must also fill
+the item's slots consistently: one value of the item stands for one value of the document. Windows found as they stand
+count by themselves. An item counts as contained once a given share of its windows is found, each counted once.
 
 What is defined for odd input:
 - Null or empty texts have no tokens and are never contaminated; items without tokens are never found.
-- Items of fewer than five tokens are looked up whole. Windows with fewer literal tokens than half their length are not
-  looked up, as they would fit anything.
+- Items of fewer than five tokens are looked up whole. Forms with fewer literal tokens than half their length are not
+  looked up, as they would fit anything; such windows are found as they stand alone.
 - Rows with the same doc_id are judged together. Rows with a null doc_id are judged together under null in the result,
   and the filter keeps them. Rows of the benchmark with the same item_id count as one item; null ids are left out.
 - Other columns are not read. With an empty table on either side the result is empty.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Of an item of n tokens, one that is changed spoils at most WINDOW of its n - WINDOW + 1 windows.
 WINDOW, LEAST_COVERAGE = 5, 0.5
-#: Benchmark windows that may be broadcast (24 bytes each and what their slots hold); beyond it the join shuffles.
+#: Benchmark windows, in all their forms, that may be broadcast (24 bytes each and what their slots hold); beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 # Units that are told from other words after a number.
 UNITS = (
@@ -48,38 +49,54 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(_marked(F.coalesce(text, F.lit(""))), " "), lambda t: t != "")
 
 
-def _template(token: Column) -> Column:
-    """Hash of a token; slots of a type are all alike."""
-    mark = F.substring(token, 1, 1)
-    return F.xxhash64(F.when(mark.isin(_NAME, _NUMBER, _UNIT), mark).otherwise(token))
+def _is_slot(token: Column, *marks: str) -> Column:
+    return F.substring(token, 1, 1).isin(*(marks or (_NAME, _NUMBER, _UNIT)))
 
 
-def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, tokens, place, template): one row for each window of `size` tokens, by the hash of its template; a row with
-    nulls for a text of fewer tokens. An outer explode is taken as Spark puts a filter before an inner one, in which the
-    arrays' definitions would be evaluated again, for every element."""
-    tokens = df.select(key, _tokens(F.col("text")).alias("tokens"))
-    hashed = tokens.select(key, "tokens", F.transform("tokens", _template).alias("hashes"))
-    n = F.size("hashes")
-    windows = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice("hashes", i, size)))
-    found = hashed.select(key, "tokens", F.when(n >= size, windows).alias("windows"))
-    return found.select(key, "tokens", F.posexplode_outer("windows").alias("place", "template"))
+def _plain(token: Column) -> Column:
+    """The token without its mark."""
+    return F.when(_is_slot(token), F.substring(token, 2, 2**31 - 1)).otherwise(token)
 
 
-def _slots(tokens: Column, place: Column, size: int) -> Column:
-    """The window's tokens from `place` (0 first), with null for literal ones."""
-    return F.transform(F.slice(tokens, place + 1, size), lambda t: F.when(F.substring(t, 1, 1).isin(_NAME, _NUMBER, _UNIT), t))
+def _windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, tokens, place, full, plain): one row for each window of `size` tokens, by the hashes of its forms: all
+    placeholders, everything as it stands; a row with nulls for a text of fewer tokens. An outer
+    explode is taken as Spark puts a filter before an inner one, in which the arrays' definitions would be evaluated again,
+    for every element."""
+    tokens = df.select(*keys, _tokens(F.col("text")).alias("tokens"))
+    full = F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
+    plain = F.transform("tokens", lambda t: F.xxhash64(_plain(t)))
+    n = F.size("tokens")
+    hashed = tokens.select(*keys, "tokens", full.alias("fulls"), plain.alias("plains"), F.when(n >= size, F.sequence(F.lit(0), n - size)).alias("at"))
+    found = hashed.select(*keys, "tokens", "fulls", "plains", F.explode_outer("at").alias("place"))
+    fulls, plains = ([F.col(c)[F.col("place") + k] for k in range(size)] for c in ("fulls", "plains"))
+    forms = (F.when(F.col("place").isNotNull(), F.xxhash64(*form)) for form in (fulls, plains))
+    return found.select(*keys, "tokens", "place", *(form.alias(c) for form, c in zip(forms, ("full", "plain"), strict=True)))
+
+
+def _window(tokens: Column, place: Column, size: int) -> Column:
+    """The window's tokens from `place` (0 first)."""
+    return F.slice(tokens, place + 1, size)
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(template, item_id, item_place, slots, n_windows) of the items that are looked up in windows of this size."""
+    """(template, item_id, item_place, form, slots, n_windows) of the items that are looked up in windows of this
+    size: a row for each form of a window; slots are null where the form is literal."""
     items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
     length = F.size(_tokens(F.col("text")))
     items = items.where(length >= WINDOW if size == WINDOW else length == size)
-    rows = _windows(items, "item_id", size)
-    rows = rows.withColumn("slots", _slots(F.col("tokens"), F.col("place"), size)).withColumn("n_windows", F.size("tokens") - size + 1)
-    literal = F.size(F.filter("slots", lambda s: s.isNull()))
-    return rows.where(2 * literal >= size).select("template", "item_id", F.col("place").alias("item_place"), "slots", "n_windows")
+    rows = _windows(items, ["item_id"], size).where("place is not null")
+
+    def form(template: str, *marks: str) -> Column:
+        window = _window(F.col("tokens"), F.col("place"), size)
+        slots = F.transform(window, lambda t: F.when(_is_slot(t, *marks), t) if marks else F.lit(None).cast("string"))
+        return F.struct(F.col(template).alias("template"), slots.alias("slots"), F.lit(template).alias("form"))
+
+    forms = F.array(form("plain"), form("full", _NAME, _NUMBER, _UNIT))
+    rows = rows.withColumn("n_windows", F.size("tokens") - size + 1).withColumn("as", F.explode(forms))
+    filled = F.size(F.filter("as.slots", lambda s: s.isNotNull()))
+    rows = rows.where((F.col("as.form") == "plain") | ((filled > 0) & (2 * (size - filled) >= size)))
+    return rows.select("as.template", "item_id", F.col("place").alias("item_place"), "as.form", "as.slots", "n_windows")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
@@ -98,14 +115,17 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float
         items = item_windows(benchmark, size)
         if items.count() <= MOST_BROADCAST:
             items = F.broadcast(items)
-        met = _windows(docs, "doc_id", size).join(items, "template")
-        pairs = F.arrays_zip(F.col("slots").alias("item"), _slots(F.col("tokens"), F.col("place"), size).alias("doc"))
+        windows = _windows(docs, ["doc_id"], size)
+        forms = F.array("full", F.when(F.col("plain") != F.col("full"), F.col("plain")))
+        met = windows.select("doc_id", "tokens", "place", F.explode_outer(forms).alias("template")).join(items, "template")
+        pairs = F.arrays_zip(F.col("slots").alias("item"), _window(F.col("tokens"), F.col("place"), size).alias("doc"))
         pairs = F.filter(pairs, lambda p: p["item"].isNotNull())
-        parts.append(met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("line"), "item_place", "n_windows", pairs.alias("pairs")))
+        line = (F.col("place") - F.col("item_place")).alias("line")
+        parts.append(met.select("doc_id", "item_id", "form", line, "item_place", "n_windows", pairs.alias("pairs")))
     met = parts[0]
     for part in parts[1:]:
         met = met.unionByName(part)
-    lines = met.groupBy("doc_id", "item_id", "line").agg(  # a line has at most as many rows as the item has windows
+    lines = met.groupBy("doc_id", "item_id", "form", "line").agg(  # a line has at most two rows for each of the item's windows
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.first("n_windows").alias("n_windows")
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))

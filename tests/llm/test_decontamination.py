@@ -44,6 +44,13 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in found] == [0]
 
 
+def test_windows_full_of_slots_are_found_as_they_stand(spark):
+    items = [(1, "Calculate 12 + 7 * 3 - 45 / 9 + 2"), (2, "1 2 3 4 5 6 7 8 9 10"), (3, "der Rat der Stadt Bonn und Kanzler Otto Graf Lang trafen Abt Hugo Maria Stein")]
+    texts = [f"so it goes: {t} and on" for _, t in items] + ["so it goes: Calculate 13 + 8 * 4 - 46 / 8 + 3 and on", "9 8 7 6 5 4 3 2 1 0 11 12"]
+    found = contained_items(docs_of(spark, texts), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)}
+
+
 def test_filter_keeps_clean_rows(spark):
     texts = [*odd_texts(), ITEMS[1][1], ITEMS[1][1], ITEMS[1][1]]
     df = clashing(docs_of(spark, texts, [*range(len(texts) - 2), 3, None]))
