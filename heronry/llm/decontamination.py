@@ -3,7 +3,8 @@
 A text becomes a sequence of tokens: runs of letters and digits in lower case. Numbers, names (capitalised words within a
 sentence) and units (after a number) are replaced by typed placeholders; what stood there is kept beside the token. Every
 window of five tokens of a document is looked up among those of the benchmark, so a question with other numbers or names
-is found as well. A window is looked up in two forms: with placeholders, and as it stands in lower case.
+is found as well. A window is looked up in up to three forms: with all placeholders; with those of numbers and units
+alone, as capitals tell names and a copy may have other capitals; and as it stands in lower case, without placeholders.
 Windows with placeholders that lie on one line (the same distance between the places in document and item) must also fill
 the item's slots consistently: one value of the item stands for one value of the document. Windows found as they stand
 count by themselves. An item counts as contained once a given share of its windows is found, each counted once.
@@ -59,8 +60,8 @@ def _plain(token: Column) -> Column:
 
 
 def _windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, tokens, place, full, plain): one row for each window of `size` tokens, by the hashes of its forms: all
-    placeholders, everything as it stands; a row with nulls for a text of fewer tokens. An outer
+    """(keys, tokens, place, full, cased, plain): one row for each window of `size` tokens, by the hashes of its forms: all
+    placeholders, names as they stand, everything as it stands; a row with nulls for a text of fewer tokens. An outer
     explode is taken as Spark puts a filter before an inner one, in which the arrays' definitions would be evaluated again,
     for every element."""
     tokens = df.select(*keys, _tokens(F.col("text")).alias("tokens"))
@@ -70,8 +71,9 @@ def _windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     hashed = tokens.select(*keys, "tokens", full.alias("fulls"), plain.alias("plains"), F.when(n >= size, F.sequence(F.lit(0), n - size)).alias("at"))
     found = hashed.select(*keys, "tokens", "fulls", "plains", F.explode_outer("at").alias("place"))
     fulls, plains = ([F.col(c)[F.col("place") + k] for k in range(size)] for c in ("fulls", "plains"))
-    forms = (F.when(F.col("place").isNotNull(), F.xxhash64(*form)) for form in (fulls, plains))
-    return found.select(*keys, "tokens", "place", *(form.alias(c) for form, c in zip(forms, ("full", "plain"), strict=True)))
+    cased = [F.when(f == F.xxhash64(F.lit(_NAME)), p).otherwise(f) for f, p in zip(fulls, plains, strict=True)]
+    forms = (F.when(F.col("place").isNotNull(), F.xxhash64(*form)) for form in (fulls, cased, plains))
+    return found.select(*keys, "tokens", "place", *(form.alias(c) for form, c in zip(forms, ("full", "cased", "plain"), strict=True)))
 
 
 def _window(tokens: Column, place: Column, size: int) -> Column:
@@ -92,7 +94,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
         slots = F.transform(window, lambda t: F.when(_is_slot(t, *marks), t) if marks else F.lit(None).cast("string"))
         return F.struct(F.col(template).alias("template"), slots.alias("slots"), F.lit(template).alias("form"))
 
-    forms = F.array(form("plain"), form("full", _NAME, _NUMBER, _UNIT))
+    forms = F.array(form("plain"), form("full", _NAME, _NUMBER, _UNIT), form("cased", _NUMBER, _UNIT))
     rows = rows.withColumn("n_windows", F.size("tokens") - size + 1).withColumn("as", F.explode(forms))
     filled = F.size(F.filter("as.slots", lambda s: s.isNotNull()))
     rows = rows.where((F.col("as.form") == "plain") | ((filled > 0) & (2 * (size - filled) >= size)))
@@ -116,7 +118,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float
         if items.count() <= MOST_BROADCAST:
             items = F.broadcast(items)
         windows = _windows(docs, ["doc_id"], size)
-        forms = F.array("full", F.when(F.col("plain") != F.col("full"), F.col("plain")))
+        forms = F.array("full", F.when(F.col("cased") != F.col("full"), F.col("cased")), F.when(F.col("plain") != F.col("cased"), F.col("plain")))
         met = windows.select("doc_id", "tokens", "place", F.explode_outer(forms).alias("template")).join(items, "template")
         pairs = F.arrays_zip(F.col("slots").alias("item"), _window(F.col("tokens"), F.col("place"), size).alias("doc"))
         pairs = F.filter(pairs, lambda p: p["item"].isNotNull())
@@ -125,7 +127,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float
     met = parts[0]
     for part in parts[1:]:
         met = met.unionByName(part)
-    lines = met.groupBy("doc_id", "item_id", "form", "line").agg(  # a line has at most two rows for each of the item's windows
+    lines = met.groupBy("doc_id", "item_id", "form", "line").agg(  # a line has at most three rows for each of the item's windows
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.first("n_windows").alias("n_windows")
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))

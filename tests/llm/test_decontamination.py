@@ -51,6 +51,13 @@ def test_windows_full_of_slots_are_found_as_they_stand(spark):
     assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)}
 
 
+def test_other_capitals_are_no_other_words(spark):
+    items = [(1, "when did Anna and her friend Bert meet the old Carl near a Danube town of 900 people"), (2, "What is gravity?")]
+    texts = [items[0][1].lower(), items[0][1].upper(), items[0][1].lower().replace("900", "750"), "Question 12\nWhat is gravity?", "they ask What is gravity?", "what was gravity"]
+    found = contained_items(docs_of(spark, texts), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 2, 1.0)}
+
+
 def test_filter_keeps_clean_rows(spark):
     texts = [*odd_texts(), ITEMS[1][1], ITEMS[1][1], ITEMS[1][1]]
     df = clashing(docs_of(spark, texts, [*range(len(texts) - 2), 3, None]))
