@@ -14,7 +14,8 @@ What is defined for odd input:
 - Items of fewer than five tokens are looked up whole. Forms with fewer literal tokens than half their length are not
   looked up, as they would fit anything; such windows are found as they stand alone.
 - Rows with the same doc_id are judged together. Rows with a null doc_id are judged together under null in the result,
-  and the filter keeps them. Rows of the benchmark with the same item_id count as one item; null ids are left out.
+  and the filter keeps them. Of benchmark rows with the same item_id each text is looked up by itself, and the item has
+  the best coverage of its texts; null ids are left out.
 - Other columns are not read. With an empty table on either side the result is empty.
 """
 
@@ -82,12 +83,13 @@ def _window(tokens: Column, place: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(template, item_id, item_place, form, slots, n_windows) of the items that are looked up in windows of this
-    size: a row for each form of a window; slots are null where the form is literal."""
-    items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
+    """(template, item_id, variant, item_place, form, slots, n_windows) of the items that are looked up in windows of this
+    size: a row for each form of a window; slots are null where the form is literal. Each
+    distinct text of an item is a variant."""
+    items = benchmark.where("item_id is not null").distinct().withColumn("variant", F.xxhash64("text"))
     length = F.size(_tokens(F.col("text")))
     items = items.where(length >= WINDOW if size == WINDOW else length == size)
-    rows = _windows(items, ["item_id"], size).where("place is not null")
+    rows = _windows(items, ["item_id", "variant"], size).where("place is not null")
 
     def form(template: str, *marks: str) -> Column:
         window = _window(F.col("tokens"), F.col("place"), size)
@@ -98,7 +100,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     rows = rows.withColumn("n_windows", F.size("tokens") - size + 1).withColumn("as", F.explode(forms))
     filled = F.size(F.filter("as.slots", lambda s: s.isNotNull()))
     rows = rows.where((F.col("as.form") == "plain") | ((filled > 0) & (2 * (size - filled) >= size)))
-    return rows.select("as.template", "item_id", F.col("place").alias("item_place"), "as.form", "as.slots", "n_windows")
+    return rows.select("as.template", "item_id", "variant", F.col("place").alias("item_place"), "as.form", "as.slots", "n_windows")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
@@ -123,19 +125,20 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float
         pairs = F.arrays_zip(F.col("slots").alias("item"), _window(F.col("tokens"), F.col("place"), size).alias("doc"))
         pairs = F.filter(pairs, lambda p: p["item"].isNotNull())
         line = (F.col("place") - F.col("item_place")).alias("line")
-        parts.append(met.select("doc_id", "item_id", "form", line, "item_place", "n_windows", pairs.alias("pairs")))
+        parts.append(met.select("doc_id", "item_id", "variant", "form", line, "item_place", "n_windows", pairs.alias("pairs")))
     met = parts[0]
     for part in parts[1:]:
         met = met.unionByName(part)
-    lines = met.groupBy("doc_id", "item_id", "form", "line").agg(  # a line has at most three rows for each of the item's windows
+    lines = met.groupBy("doc_id", "item_id", "variant", "form", "line").agg(  # a line has at most three rows for each of the item's windows
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.first("n_windows").alias("n_windows")
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
     lines = lines.where(F.size(values) == F.size("pairs"))  # each value of the item stands for one of the document
-    found = lines.select("doc_id", "item_id", "n_windows", F.explode("places").alias("place"))
-    found = found.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("matched_windows"), F.max("n_windows").cast("long").alias("item_windows"))
-    found = found.withColumn("coverage", F.col("matched_windows") / F.col("item_windows"))
-    return found.where(F.col("coverage") >= least_coverage)
+    found = lines.select("doc_id", "item_id", "variant", "n_windows", F.explode("places").alias("place"))
+    found = found.groupBy("doc_id", "item_id", "variant").agg(F.count_distinct("place").alias("matched_windows"), F.max("n_windows").cast("long").alias("item_windows"))
+    found = found.withColumn("coverage", F.col("matched_windows") / F.col("item_windows")).where(F.col("coverage") >= least_coverage)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched_windows", "item_windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.matched_windows", "best.item_windows", "best.coverage")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:

@@ -58,6 +58,13 @@ def test_other_capitals_are_no_other_words(spark):
     assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in found} == {(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 2, 1.0)}
 
 
+def test_each_text_of_an_item_is_looked_up(spark):
+    items = [(1, ITEMS[1][1]), (1, "a passage that stands under the same id as another one does"), (1, "three more words"), (1, None)]
+    texts = [items[0][1], items[1][1], items[2][1], items[0][1] + ". " + items[1][1], "neither of them"]
+    found = contained_items(docs_of(spark, texts), benchmark(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in found) == [(k, 1, 1.0) for k in range(4)]
+
+
 def test_filter_keeps_clean_rows(spark):
     texts = [*odd_texts(), ITEMS[1][1], ITEMS[1][1], ITEMS[1][1]]
     df = clashing(docs_of(spark, texts, [*range(len(texts) - 2), 3, None]))
