@@ -8,7 +8,8 @@ find their place by their rank among the pieces of their length; ranks come from
 
 What is defined for odd input:
 - A null or empty text is the end id alone. Repeated rows are packed as often as they stand there. Null ids are kept.
-- Very long texts are tokenized in segments cut at white space, so memory is bounded.
+- Texts of more than SEGMENT characters are tokenized in segments, which end after white space that an ASCII letter or
+  digit follows; where there is none for longer, the segment goes on. A task holds one whole text and its ids.
 - Other columns of the input are not read. An empty table gives an empty result.
 """
 
@@ -32,14 +33,16 @@ CAPACITY, END_ID = 2048, 1
 MOST_WORDS = 400_000
 #: Characters of text that are cut into words at a time.
 SEGMENT = 1_000_000
-#: Pieces in a group that is ranked by one sort.
-RANKED_TOGETHER = 200_000
+#: Groups that pieces are dealt into for ranking, for each shuffle partition.
+GROUPS = 4
 
 # Texts of these characters alone are cut into words here, which gives what the tokenizer's own rules give: none of them
 # changes under composition, each has a lower case of one letter among them, and white space and letters are the same sets.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETTER}{_DIGIT}]+")
+# No token spans white space, and no rule of the tokenizer looks back over white space from one of these.
+_CUT = re.compile(r"[ \t\n\r](?=[0-9A-Za-z])")
 
 
 @lru_cache(1)
@@ -49,34 +52,39 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _ids(tokenizer, text: str) -> np.ndarray:
+    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+
 class WordIds(dict):
     """The ids of a word as little-endian 32-bit numbers, kept for at most MOST_WORDS words."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.tokenizer = tokenizer
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)  # which ids end a word
         self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes those that aren't known yet in one go, apart by spaces."""
-        new = [w for w in set(words) if w not in self]
+    def learn(self, lists: list[list[str]]) -> None:
+        """Encodes the words that aren't known yet in one go, apart by spaces."""
+        words = set().union(*lists)
+        new = list(words.difference(self))
         if len(self) + len(new) > MOST_WORDS:
             self.clear()
+            new = list(words)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = _ids(self.tokenizer, " ".join(part))
             stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(part):  # else each is encoded when it is looked up
                 raw = ids.tobytes()
                 self.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self[word] = _ids(self.tokenizer, word).tobytes()
         return ids
 
     def of(self, words: list[str]) -> bytes:
-        self.learn(words)
         return b"".join(map(self.__getitem__, words))
 
 
@@ -91,10 +99,10 @@ def word_ids(path: str) -> WordIds:
 
 
 def segments(text: str, most: int = SEGMENT) -> Iterator[str]:
-    """The text in parts that end after white space, of about `most` characters."""
+    """The text in parts of about `most` characters, whose ids put together are those of the text."""
     at = 0
     while len(text) - at > most:
-        cut = re.compile(r"[ \t\n\r]").search(text, at + most)
+        cut = _CUT.search(text, at + most)
         if not cut:
             break
         yield text[at : cut.end()]
@@ -102,11 +110,41 @@ def segments(text: str, most: int = SEGMENT) -> Iterator[str]:
     yield text[at:]
 
 
-def encoded(text: str, ids: WordIds) -> bytes:
-    """The ids of a text, as little-endian 32-bit numbers; the same as those of the tokenizer for the whole text."""
-    if "<|" in text or not _PLAIN.fullmatch(text):  # a special token's name, or letters that the rule above doesn't cover
-        return np.array(ids.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return b"".join(ids.of(_WORD.findall(part.lower())) for part in segments(text))
+def encoded(texts: list[str], ids: WordIds) -> list[bytes]:
+    """The ids of each text, as little-endian 32-bit numbers; the same as those of the tokenizer for the whole text.
+
+    Words that are new are learned for all texts together, or for each segment of a text that is longer than one.
+    """
+    out: list[bytes] = []
+    plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]  # no special token's name, and only the letters above
+    lists = [_WORD.findall(t.lower()) if p and len(t) <= SEGMENT else [] for t, p in zip(texts, plain, strict=True)]
+    ids.learn(lists)
+    for text, own, words in zip(texts, plain, lists, strict=True):
+        if len(text) <= SEGMENT:
+            out.append(ids.of(words) if own else _ids(ids.tokenizer, text).tobytes())
+            continue
+        parts = []
+        for part in segments(text):
+            if own:
+                words = _WORD.findall(part.lower())
+                ids.learn([words])
+                parts.append(ids.of(words))
+            else:
+                parts.append(_ids(ids.tokenizer, part).tobytes())
+        out.append(b"".join(parts))
+    return out
+
+
+def _together(batch: pa.RecordBatch, most: int = SEGMENT) -> Iterator[list[tuple]]:
+    """The (doc_id, text) rows of a batch, as many at a time as have `most` characters."""
+    rows, held = [], 0
+    for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
+        rows.append((doc_id, text.as_py() or ""))
+        held += len(rows[-1][1])
+        if held > most:
+            yield rows
+            rows, held = [], 0
+    yield rows
 
 
 PIECES = "piece_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -121,16 +159,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         piece_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
-                ids = encoded(text.as_py() or "", store) + end
-                for start in range(0, len(ids), 4 * capacity):
-                    part = ids[start : start + 4 * capacity]
-                    rows.append((piece_id, doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))
-                    piece_id += 1
-                    held += len(part) if with_ids else 100
-                    if held > 8_000_000:
-                        yield made(rows)
-                        rows, held = [], 0
+            for group in _together(batch):
+                for (doc_id, _), own in zip(group, encoded([text for _, text in group], store), strict=True):
+                    ids = own + end
+                    for start in range(0, len(ids), 4 * capacity):
+                        part = ids[start : start + 4 * capacity]
+                        rows.append((piece_id, doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))
+                        piece_id += 1
+                        held += len(part) if with_ids else 100
+                        if held > 8_000_000:
+                            yield made(rows)
+                            rows, held = [], 0
             yield made(rows)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -213,8 +252,11 @@ def places(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = plan(histogram, capacity)
     known = cut.sparkSession.sparkContext.broadcast((rows[:, 0] << 44 | rows[:, 1], rows))  # bounded like the plan
 
-    salts = max(1, -(-sum(histogram.values()) // RANKED_TOGETHER))
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("piece_id"), F.lit(salts)))
+    # each length is dealt into groups by its count, so that no group holds more than its share of all pieces
+    spark = cut.sparkSession
+    share = sum(histogram.values()) // (GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    salts = spark.createDataFrame([(x, -(-n // share)) for x, n in histogram.items()], "length long, salts long")
+    cut = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("piece_id"), F.col("salts")))  # a row a length
     sizes = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     sizes = sizes.select("length", "salt", before.alias("before"))

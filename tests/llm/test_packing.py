@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from heronry.llm.packing import fill, pack, plan
+from heronry.llm import packing
+from heronry.llm.packing import WordIds, encoded, fill, pack, plan, segments
 
 from .helpers import clashing, docs_of, odd_texts, words
 
@@ -40,6 +41,34 @@ def test_round_trip(spark):
     assert len(sequences) <= -(-total // 2048) + 1
 
 
+def test_long_texts_in_segments(monkeypatch):
+    """Texts of many segments, plain or not, and a store that starts anew, give what the tokenizer gives for the whole text."""
+    rng = random.Random(3)
+    tokenizer = Tokenizer.from_file(PATH)
+    plain = words(rng, 3000, 2000) + " " + "x" * 5000 + " don't 12,5 " + words(rng, 300)
+    odd = " ".join(rng.choice([*"Σς é é中文İ", "<|endoftext|>", "word", "ΑΣ", "12", "\u0301", "\u00a0", "a<|", "|>b"]) for _ in range(4000))
+    texts = [plain, odd, plain.upper(), odd.replace(" ", ""), "", "short", plain[:900]]
+    monkeypatch.setattr(packing, "SEGMENT", 1000)
+    monkeypatch.setattr(packing, "MOST_WORDS", 1500)
+    assert len(list(segments(plain, 1000))) > 10 and len(list(segments(odd, 1000))) > 3
+    store = WordIds(tokenizer)
+    for _ in range(2):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoded(texts, store)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(store) < 5000
+
+
+def test_a_text_above_the_segment(spark):
+    rng = random.Random(4)
+    text = words(rng, 250_000, 30_000) + " ſ中 " + words(rng, 10)
+    assert len(text) > packing.SEGMENT
+    rows = pack(docs_of(spark, [text, text.replace("中", "")]), PATH).collect()
+    tokenizer = Tokenizer.from_file(PATH)
+    for i, t in enumerate([text, text.replace("中", "")]):
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
 def test_no_rows(spark):
     assert pack(docs_of(spark, []), PATH).count() == 0
 
