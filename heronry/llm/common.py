@@ -49,6 +49,19 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that without_ids() broadcasts, at most; about 40 bytes each.
+MOST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id isn't among `ids` (one column, doc_id). The ids are written first, so
+    that their number is known: up to MOST_IDS they are broadcast and the rows of docs stay where they are; beyond it they
+    are left to Spark, which shuffles both sides. Rows with a null doc_id stay."""
+    ids = written(ids.where("doc_id is not null").distinct(), "ids")
+    few = ids.count() <= MOST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

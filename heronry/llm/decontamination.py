@@ -1,21 +1,28 @@
 """Benchmark decontamination on templates, with DataFrame functions alone.
 
-A text becomes a sequence of tokens: runs of letters and digits in lower case. Numbers, names (capitalised words within a
-sentence) and units (after a number) are replaced by typed placeholders; what stood there is kept beside the token. Every
-window of five tokens of a document is looked up among those of the benchmark, so a question with other numbers or names
-is found as well. A window is looked up in up to three forms: with all placeholders; with those of numbers and units
-alone, as capitals tell names and a copy may have other capitals; and as it stands in lower case, without placeholders.
+A text becomes a sequence of tokens: runs of letters and digits in lower case. Numbers, names (capitalised words) and units
+(after a number) are replaced by typed placeholders; what stood there is kept beside the token. Every window of five tokens
+of a document is looked up among those of the benchmark, so a question with other numbers or names is found as well. A
+window has up to four forms, as capitals tell names and a copy may have other capitals; those of documents meet those of
+items in any form:
+- plain: as it stands in lower case, without placeholders;
+- cased: with placeholders of numbers and units alone;
+- full: with those, and those of capitalised words within a sentence;
+- open: like full, and with capitalised words that open a sentence, unless they are among OPENERS; of items only windows
+  with another placeholder have it.
 Windows with placeholders that lie on one line (the same distance between the places in document and item) must also fill
-the item's slots consistently: one value of the item stands for one value of the document. Windows found as they stand
-count by themselves. An item counts as contained once a given share of its windows is found, each counted once.
+the item's slots consistently: one value of the item stands for one value of the document; a line that doesn't is left to
+its plain windows. Plain windows count by themselves. An item counts as contained once a given share of its windows is
+found, each counted once in whatever form. So an exact copy of an item, in any capitals, is always found.
 
 What is defined for odd input:
-- Null or empty texts have no tokens and are never contaminated; items without tokens are never found.
+- Null or empty texts have no tokens and are never contaminated; items without tokens are never found. Texts of any length
+  are looked up whole, window by window.
 - Items of fewer than five tokens are looked up whole. Forms with fewer literal tokens than half their length are not
-  looked up, as they would fit anything; such windows are found as they stand alone.
+  looked up, as they would fit anything; such windows are found in another form, at least the plain one.
 - Rows with the same doc_id are judged together. Rows with a null doc_id are judged together under null in the result,
   and the filter keeps them. Of benchmark rows with the same item_id each text is looked up by itself, and the item has
-  the best coverage of its texts; null ids are left out.
+  the best coverage of its texts; null ids are left out. Repeated rows, and ties in coverage, change nothing.
 - Other columns are not read. With an empty table on either side the result is empty.
 """
 
@@ -24,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without_ids, written
+
 #: Of an item of n tokens, one that is changed spoils at most WINDOW of its n - WINDOW + 1 windows.
 WINDOW, LEAST_COVERAGE = 5, 0.5
-#: Benchmark windows, in all their forms, that may be broadcast (24 bytes each and what their slots hold); beyond it the join shuffles.
+#: Benchmark windows, in all their forms, that may be broadcast (about 100 bytes each and what their slots hold); beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 # Units that are told from other words after a number.
 UNITS = (
@@ -35,101 +44,105 @@ UNITS = (
     "gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar dollars cent cents euro euros usd eur "
     "percent degrees kmh mph v w kw a hz khz mhz ghz kb mb gb tb"
 ).split()
-_NAME, _NUMBER, _UNIT = "\x02", "\x03", "\x04"
+# Words that open a sentence without being a name.
+OPENERS = (
+    "a all an and are as at but by can could did do does each every find for from give given had has have he her his how if in is it its "
+    "let many most my no not of on one or our she should so some that the their then there these they this those to two was we were what "
+    "when where which while who whom whose why will with would you your"
+).split()
+_NAME, _NUMBER, _UNIT, _OPENING = "\x02", "\x03", "\x04", "\x05"
+_SLOTS = (_NAME, _NUMBER, _UNIT)
+FORMS = ("plain", "full", "cased", "open")
 
 
 def _marked(text: Column) -> Column:
-    """Tokens in one string, apart by single spaces; slots begin with the mark of their type."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},][ \x09-\x0D])(?=\p{Lu}\p{Ll})", _NAME)
-    bare = F.lower(F.regexp_replace(named, r"[^\p{L}\p{N}\x02]+", " "))
-    numbered = F.regexp_replace(bare, r"(?<![\p{L}\p{N}\x02])(?=\p{N})", _NUMBER)
-    has_unit = rf"(?<=\x03[\p{{L}}\p{{N}}]{{1,40}} )(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-    return F.trim(F.when(F.contains(numbered, F.lit(_NUMBER)), F.regexp_replace(numbered, has_unit, _UNIT)).otherwise(numbered))
-
-
-def _tokens(text: Column) -> Column:
-    return F.filter(F.split(_marked(F.coalesce(text, F.lit(""))), " "), lambda t: t != "")
-
-
-def _is_slot(token: Column, *marks: str) -> Column:
-    return F.substring(token, 1, 1).isin(*(marks or (_NAME, _NUMBER, _UNIT)))
-
-
-def _plain(token: Column) -> Column:
-    """The token without its mark."""
-    return F.when(_is_slot(token), F.substring(token, 2, 2**31 - 1)).otherwise(token)
-
-
-def _windows(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, tokens, place, full, cased, plain): one row for each window of `size` tokens, by the hashes of its forms: all
-    placeholders, names as they stand, everything as it stands; a row with nulls for a text of fewer tokens. An outer
-    explode is taken as Spark puts a filter before an inner one, in which the arrays' definitions would be evaluated again,
-    for every element."""
-    tokens = df.select(*keys, _tokens(F.col("text")).alias("tokens"))
-    full = F.transform("tokens", lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
-    plain = F.transform("tokens", lambda t: F.xxhash64(_plain(t)))
-    n = F.size("tokens")
-    hashed = tokens.select(*keys, "tokens", full.alias("fulls"), plain.alias("plains"), F.when(n >= size, F.sequence(F.lit(0), n - size)).alias("at"))
-    found = hashed.select(*keys, "tokens", "fulls", "plains", F.explode_outer("at").alias("place"))
-    fulls, plains = ([F.col(c)[F.col("place") + k] for k in range(size)] for c in ("fulls", "plains"))
-    cased = [F.when(f == F.xxhash64(F.lit(_NAME)), p).otherwise(f) for f, p in zip(fulls, plains, strict=True)]
-    forms = (F.when(F.col("place").isNotNull(), F.xxhash64(*form)) for form in (fulls, cased, plains))
-    return found.select(*keys, "tokens", "place", *(form.alias(c) for form, c in zip(forms, ("full", "cased", "plain"), strict=True)))
-
-
-def _window(tokens: Column, place: Column, size: int) -> Column:
-    """The window's tokens from `place` (0 first)."""
-    return F.slice(tokens, place + 1, size)
-
-
-def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(template, item_id, variant, item_place, form, slots, n_windows) of the items that are looked up in windows of this
-    size: a row for each form of a window; slots are null where the form is literal. Each
-    distinct text of an item is a variant."""
+    """Tokens in one string, apart by single spaces; slots begin with the mark of their type. The expressions begin with
+    what is rare and look back from there, which is faster than to look back from everywhere."""
+    letters, gap = r"[\p{L}\p{N}]", r"[ \x09-\x0D]"
+    capital = F.regexp_replace(F.coalesce(text, F.lit("")), rf"\p{{Lu}}(?=\p{{Ll}})(?<!{letters}\p{{Lu}})", _OPENING + "$0")
+    named = F.regexp_replace(capital, rf"{_OPENING}(?<=[\p{{L}}\p{{N}},]{gap}{_OPENING})", _NAME)
+    bare = F.lower(F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{_NAME}{_OPENING}]+", " "))
+    opening = F.regexp_replace(bare, rf"{_OPENING}(?=(?:{'|'.join(OPENERS)})(?!{letters}))", "")
+    numbered = F.regexp_replace(opening, rf"\p{{N}}(?<![\p{{L}}\p{{N}}{_NAME}{_OPENING}]\p{{N}})", _NUMBER + "$0")
+    with_unit = F.regexp_replace(numbered, rf"({_NUMBER}{letters}++ )(?=(?:{'|'.join(UNITS)})(?!{letters}))", "$1" + _UNIT)
+    return F.trim(F.when(F.contains(numbered, F.lit(_NUMBER)), with_unit).otherwise(numbered))
+
+
+def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, plain, full, cased, open, n): the tokens of df's text in each form, and their number. A form is null where it
+    can't differ from those before it."""
+    rows = df.select(*keys, _marked(F.col("text")).alias("marked"))
+    name, number, unit, opening = (F.contains("marked", F.lit(m)) for m in (_NAME, _NUMBER, _UNIT, _OPENING))
+    marked, every = F.col("marked"), "".join(_SLOTS)
+
+    def form(text: Column, slots: str) -> Column:
+        """Tokens that begin with one of `slots` are that mark alone."""
+        return F.regexp_replace(text, f"([{slots}])[^ ]++", "$1")
+
+    closed = F.replace("marked", F.lit(_OPENING), F.lit(""))
+    forms = {
+        "plain": F.when(name | number, F.translate(closed, every, "")).otherwise(closed),
+        "full": F.when(name | number, form(closed, every)),
+        "cased": F.when(name & number, F.translate(form(closed, _NUMBER + _UNIT), _NAME, "")),
+        "open": F.when((name | number) & opening, form(F.translate(marked, _OPENING, _NAME), every)),
+    }
+    rows = rows.select(*keys, *(F.split(text, " ").alias(name) for name, text in forms.items()), (marked != "").alias("any"))
+    return rows.select(*keys, *FORMS, F.when(F.col("any"), F.size("plain")).otherwise(0).alias("n"))
+
+
+def _template(tokens: str, size: int) -> Column:
+    """The hash of the window of `size` tokens from the column place."""
+    return F.xxhash64(*(F.get(tokens, F.col("place") + k) for k in range(size)))
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(template, item_id, variant, item_place, form, slots, size, n_windows): a row for each form of a window; an item of
+    fewer than WINDOW tokens is one window. Slots are null where the form is literal. Each distinct text of an item is a
+    variant."""
     items = benchmark.where("item_id is not null").distinct().withColumn("variant", F.xxhash64("text"))
-    length = F.size(_tokens(F.col("text")))
-    items = items.where(length >= WINDOW if size == WINDOW else length == size)
-    rows = _windows(items, ["item_id", "variant"], size).where("place is not null")
+    rows = _tokens(items, ["item_id", "variant"]).where("n > 0").withColumn("size", F.least("n", F.lit(WINDOW)))
+    rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
+
+    def form(name: str) -> Column:
+        tokens = [F.when(F.col("size") > k, F.get(name, F.col("place") + k)) for k in range(WINDOW)]
+        slots = F.array(*(F.when(t.isin(*_SLOTS), F.concat(t, F.get("plain", F.col("place") + k))) for k, t in enumerate(tokens)))
+        template = F.when(F.col(name).isNotNull(), F.xxhash64(*tokens))  # nulls at the end leave the hash as it is
+        return F.struct(template.alias("template"), slots.alias("slots"), F.lit(name).alias("form"))
 
-    def form(template: str, *marks: str) -> Column:
-        window = _window(F.col("tokens"), F.col("place"), size)
-        slots = F.transform(window, lambda t: F.when(_is_slot(t, *marks), t) if marks else F.lit(None).cast("string"))
-        return F.struct(F.col(template).alias("template"), slots.alias("slots"), F.lit(template).alias("form"))
+    def filled(struct: Column) -> Column:
+        return F.size(F.array_compact(struct["slots"]))
 
-    forms = F.array(form("plain"), form("full", _NAME, _NUMBER, _UNIT), form("cased", _NUMBER, _UNIT))
-    rows = rows.withColumn("n_windows", F.size("tokens") - size + 1).withColumn("as", F.explode(forms))
-    filled = F.size(F.filter("as.slots", lambda s: s.isNotNull()))
-    rows = rows.where((F.col("as.form") == "plain") | ((filled > 0) & (2 * (size - filled) >= size)))
-    return rows.select("as.template", "item_id", "variant", F.col("place").alias("item_place"), "as.form", "as.slots", "n_windows")
+    rows = rows.select("item_id", "variant", "size", "place", (F.col("n") - F.col("size") + 1).alias("n_windows"), *(form(name).alias(name) for name in FORMS))
+    opened = (filled(F.col("full")) > 0) & (filled(F.col("open")) > filled(F.col("full")))
+    forms = F.array("plain", *(F.when(filled(F.col(name)) > 0, F.col(name)) for name in ("full", "cased")), F.when(opened, F.col("open")))
+    rows = rows.select("item_id", "variant", "size", "place", "n_windows", F.explode(forms).alias("as")).where("as.template is not null")
+    rows = rows.where((F.col("as.form") == "plain") | (2 * (F.col("size") - filled(F.col("as"))) >= F.col("size")))
+    return rows.select("as.template", "item_id", "variant", F.col("place").alias("item_place"), "as.form", F.slice("as.slots", F.lit(1), F.col("size")).alias("slots"), "size", "n_windows")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, coverage) for each document and item that it contains.
 
-    The documents are read once for each window size in use (one, unless the benchmark has items of under five tokens)
-    and never shuffled: their windows stream past the benchmark's, and only rows that met go on. The benchmark's side is
-    counted first; beyond MOST_BROADCAST windows the join is left to Spark, which shuffles templates.
+    The documents are read once and never shuffled: their windows stream past the benchmark's, and only rows that met go
+    on. The benchmark's side is counted first; beyond MOST_BROADCAST windows the join is left to Spark, which shuffles
+    templates.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     benchmark = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    lengths = benchmark.select(F.least(F.size(_tokens(F.col("text"))), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
-    sizes = sorted(r["n"] for r in lengths.collect())  # at most WINDOW numbers
-    parts = []
-    for size in sizes or [WINDOW]:
-        items = item_windows(benchmark, size)
-        if items.count() <= MOST_BROADCAST:
-            items = F.broadcast(items)
-        windows = _windows(docs, ["doc_id"], size)
-        forms = F.array("full", F.when(F.col("cased") != F.col("full"), F.col("cased")), F.when(F.col("plain") != F.col("cased"), F.col("plain")))
-        met = windows.select("doc_id", "tokens", "place", F.explode_outer(forms).alias("template")).join(items, "template")
-        pairs = F.arrays_zip(F.col("slots").alias("item"), _window(F.col("tokens"), F.col("place"), size).alias("doc"))
-        pairs = F.filter(pairs, lambda p: p["item"].isNotNull())
-        line = (F.col("place") - F.col("item_place")).alias("line")
-        parts.append(met.select("doc_id", "item_id", "variant", "form", line, "item_place", "n_windows", pairs.alias("pairs")))
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionByName(part)
-    lines = met.groupBy("doc_id", "item_id", "variant", "form", "line").agg(  # a line has at most three rows for each of the item's windows
+    items = written(item_windows(benchmark), "item-windows")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW numbers
+    if items.count() <= MOST_BROADCAST:
+        items = F.broadcast(items)
+    # outer, as Spark puts a filter before an inner explode, in which all of it would be evaluated again
+    rows = _tokens(docs, ["doc_id"]).select("doc_id", "plain", "n", F.explode_outer(F.array_compact(F.array(*FORMS))).alias("tokens"))
+    at = F.when(F.col("n") >= sizes[0], F.sequence(F.lit(0), F.col("n") - sizes[0]))
+    rows = rows.select("doc_id", "plain", "n", "tokens", F.explode_outer(at).alias("place"))
+    templates = [F.when(F.col("place") + size <= F.col("n"), _template("tokens", size)) for size in sizes]
+    met = rows.select("doc_id", "plain", "place", (F.explode_outer(F.array(*templates)) if len(sizes) > 1 else templates[0]).alias("template")).join(items, "template")
+    pairs = F.arrays_zip(F.col("slots").alias("item"), F.slice("plain", F.col("place") + 1, F.col("size")).alias("doc"))
+    pairs = F.filter(pairs, lambda p: p["item"].isNotNull())
+    met = met.select("doc_id", "item_id", "variant", "form", (F.col("place") - F.col("item_place")).alias("line"), "item_place", "n_windows", pairs.alias("pairs"))
+    lines = met.groupBy("doc_id", "item_id", "variant", "form", "line").agg(  # a line has at most a row for each of the item's windows
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.first("n_windows").alias("n_windows")
     )
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
@@ -143,5 +156,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """The rows of docs, all columns, that contain no item. Rows with a null doc_id stay."""
-    found = contained_items(docs, benchmark, least_coverage).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, contained_items(docs, benchmark, least_coverage).select("doc_id"))

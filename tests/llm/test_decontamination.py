@@ -1,6 +1,9 @@
 import random
+from collections import defaultdict
 
-from heronry.llm.decontamination import contained_items, decontaminated
+import regex
+
+from heronry.llm.decontamination import OPENERS, UNITS, WINDOW, contained_items, decontaminated
 
 from .helpers import clashing, docs_of, odd_texts, words
 
@@ -18,6 +21,103 @@ def benchmark(spark, rows=ITEMS):
     return clashing(spark.createDataFrame(rows, "item_id long, text string"))
 
 
+def tokens_of(text):
+    """(kind, token) pairs: name, opening, number, unit, or none for a literal."""
+    text, out, number = text or "", [], False
+    for m in regex.finditer(r"[\p{L}\p{N}]+", text):
+        w, kind = m.group(), ""
+        if regex.match(r"\p{N}", w):
+            kind = "number"
+        elif regex.match(r"\p{Lu}\p{Ll}", w):
+            before = text[max(0, m.start() - 2) : m.start()]
+            within = regex.fullmatch(r"[\p{L}\p{N},][ \t\n\x0b\f\r]", before)
+            kind = "name" if within else "" if w.lower() in OPENERS else "opening"
+        if number and w.lower() in UNITS and not kind:
+            kind = "unit"
+        number = kind == "number"
+        out.append((kind, w.lower()))
+    return out
+
+
+SLOTS = {"plain": {}, "cased": {"number": "number", "unit": "unit"}, "full": {"number": "number", "unit": "unit", "name": "name"}}
+SLOTS["open"] = SLOTS["full"] | {"opening": "name"}
+
+
+def form_of(window, form):
+    return [SLOTS[form].get(kind) or "=" + w for kind, w in window]
+
+
+def brute(docs, items):
+    """(doc_id, item_id, matched, windows) of all documents and items, window by window."""
+    out = {}
+    for d, text in docs:
+        mine = tokens_of(text)
+        mine = {size: [[form_of(mine[b : b + size], f) for f in SLOTS] for b in range(len(mine) - size + 1)] for size in range(1, WINDOW + 1)}
+        values = tokens_of(text)
+        for i, item in items:
+            own = tokens_of(item)
+            size = min(WINDOW, len(own))
+            if not size or i is None:
+                continue
+            places = set()
+            for form in SLOTS:
+                lines = defaultdict(list)
+                for a in range(len(own) - size + 1):
+                    w = own[a : a + size]
+                    t = form_of(w, form)
+                    if form == "open" and (form_of(w, "full") == form_of(w, "plain") or t == form_of(w, "full")):
+                        continue
+                    if 2 * sum(x[0] == "=" for x in t) < size:
+                        continue
+                    for b, forms in enumerate(mine[size]):
+                        if t in forms:
+                            lines[b - a].append((a, {((x, own[a + k][1]), values[b + k][1]) for k, x in enumerate(t) if x[0] != "="}))
+                for found in lines.values():
+                    pairs = set().union(*(p for _, p in found))
+                    if len({x for x, _ in pairs}) == len(pairs):
+                        places |= {a for a, _ in found}
+            n = len(own) - size + 1
+            if len(places) / n >= 0.5:
+                out[d, i] = max(out.get((d, i), (0, 0)), (len(places), n))
+    return {(*key, *value) for key, value in out.items()}
+
+
+def generated(rng):
+    """Items of 1 to 40 tokens with 0 to 100 % slots, some of which begin with a name, and documents with their copies: in
+    order (document, item that must be found in it or None, text)."""
+    names, nouns = ["Anna", "Bert", "Carla", "Dora", "Emil", "Maria", "Peter"], [f"noun{chr(97 + k)}" for k in range(26)]
+    kinds = [lambda: rng.choice(names), lambda: str(rng.randrange(1000)), lambda: f"{rng.randrange(100)} km"]
+    items, docs = [], []
+    for k in range(24):
+        share, n = rng.choice([0, 0.2, 0.5, 0.8, 1]), rng.choice([1, 3, 4, 5, 6, 9, 15, 40])
+        parts = [rng.choice(kinds)() if rng.random() < share else rng.choice(nouns) for _ in range(n)]
+        if rng.random() < 0.5:
+            parts[0] = rng.choice([*names, "What", "The"])
+        items.append((k, " ".join(parts)))
+        changed = [rng.choice(names) if p in names else str(int(p) + 7) if p.isdigit() else p for p in parts]
+        around = lambda: " ".join(rng.choice(nouns) + "x" for _ in range(12))
+        for copy, must in ((" ".join(parts), k), (" ".join(parts).upper(), k), (", ".join(parts).lower(), k), (" ".join(changed), None)):
+            for before in rng.sample([". ", " ", " 7 ", " Otto "], 2):
+                docs.append((len(docs), must, around() + before + copy + rng.choice([". ", " km ", "? Who? "]) + around()))
+    return items, docs
+
+
+def test_equals_all_documents_by_all_items(spark):
+    items, docs = generated(random.Random(8))
+    df = docs_of(spark, [t for *_, t in docs], [d for d, *_ in docs])
+    rows = contained_items(df, benchmark(spark, items)).collect()
+    found = {(r["doc_id"], r["item_id"], r["matched_windows"], r["item_windows"]) for r in rows}
+    assert found == brute([(d, t) for d, _, t in docs], items)
+    assert {(d, i) for d, i, _ in docs if i is not None} <= {(d, i) for d, i, *_ in found}  # every exact copy
+
+
+def test_copies_full_of_slots_and_other_openings(spark):
+    items = ["What is 12 + 15 and 33 + 4 and 7 + 9 and 8 + 2 equal to", "Solve: 14 + 27 = 41; 9 * 8 = 72; 100 / 4 = 25", "the price rose 3 percent in May to 12 dollars", "Maria bought 12 red apples", "Who was born in 1912?"]
+    texts = [*items[:4], "Peter bought 15 red apples", "and so on. Peter bought 15 red apples. They were sour", "then Peter bought 9 red apples", "Maria sold 12 red apples", "Peter was born in 1915"]
+    rows = contained_items(docs_of(spark, texts), benchmark(spark, list(enumerate(items)))).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (6, 3)}
+
+
 def test_finds_copies_and_other_numbers(spark):
     rng = random.Random(1)
     fill = lambda: words(rng, 50)
