@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, drop_written, mixed, written
+from .common import WordHashes, components, drop_written, mixed, without_ids, written
 
 #: Half keys a collection, minhashes a half key: 100 tables from 40 minhashes. A pair at similarity 0.75 meets in at least
 #: one table with probability 0.9995, at 0.8 with 0.9999.
@@ -132,8 +132,8 @@ def _brief(signature: bytes, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return both[:, :BINS], np.ascontiguousarray(both[:, BINS:]).view("<u4")
 
 
-def _near(n: np.ndarray, m: int, sketches: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """How alike, in thousandths, those are that may be linked with one of m shingles; 0 for others. Sizes must lie within
+def _near(n: np.ndarray, m: np.ndarray | int, sketches: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How alike, in thousandths, those are that may be linked with one of m shingles each; 0 for others. Sizes must lie within
     3 : 4, and sketches must be alike enough."""
     taken = ((sketches > 0) | (own > 0)).sum(axis=1)
     alike = ((sketches == own) & (own > 0)).sum(axis=1) / taken
@@ -144,52 +144,69 @@ def _near(n: np.ndarray, m: int, sketches: np.ndarray, own: np.ndarray) -> np.nd
 
 
 def _first_table(halves: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The first table in which each meets the one: that of the first A and the first B that agree."""
+    """The first table in which each meets the other: that of the first A and the first B that agree."""
     same = (halves == own).reshape(len(halves), 2, HALVES).argmax(axis=2)
     return same[:, 0] * HALVES + same[:, 1]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Runs of rows with the same first `keys` columns, over the ends of batches."""
-    last, rows = None, []
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in which no run of equal first `keys` columns is cut, with the places where the runs begin, and the end."""
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        k = np.stack([rows.column(c).to_numpy() for c in range(keys)])
+        return np.concatenate([[0], 1 + np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)), [rows.num_rows]])
+
+    held = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:keys] != last:
-                if len(rows) > 1:
-                    yield rows
-                last, rows = row[:keys], []
-            rows.append(row)
-    if len(rows) > 1:
-        yield rows
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            at = begins(held)
+            if len(at) > 2:
+                yield held.slice(0, at[-2]), at[:-1]
+                held = held.slice(at[-2])
+    if held is not None:
+        yield held, begins(held)
 
 
+#: Pairs whose sketches are compared at once.
+TOGETHER = 8192
+
 PAIRS = "a long, b long, alike long"
 
 
-def _pairs_batch(pairs: list[tuple]) -> pa.RecordBatch:
-    a, b, alike = zip(*pairs, strict=True) if pairs else ([], [], [])
+def _pairs_batch(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, alike)], ["a", "b", "alike"])
 
 
+class _Members:
+    """The columns of members of table keys as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        self.cls, self.n = (rows.column(c).to_numpy() for c in ("cls", "n_shingles"))
+        self.sketches, self.halves = _brief(b"".join(rows.column("brief").to_pylist()), rows.num_rows)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How alike the members i and j are, as _near() tells."""
+        out = [np.zeros(0, np.int64)]
+        for at in range(0, len(i), TOGETHER):
+            x, y = i[at : at + TOGETHER], j[at : at + TOGETHER]
+            out.append(_near(self.n[x], self.n[y], self.sketches[x], self.sketches[y]))
+        return np.concatenate(out)
+
+
 def leader_pairs(rows: DataFrame) -> DataFrame:
     """First candidates: each member of a table key with the leader of its key (of its block, in a large key). The leader is
     the member that meets most others over all tables: in a group of varied copies, one near its centre."""
 
     def pairs(batches):
-        last, lead, out = None, None, []
-        for batch in batches:
-            for key, block, _, doc, n, brief in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = _brief(brief)[0]
-                if (key, block) != last:
-                    last, lead = (key, block), (doc, n, own[0])
-                elif doc != lead[0]:
-                    alike = _near(np.array([n]), lead[1], own, lead[2])[0]
-                    if alike:
-                        out.append((lead[0], doc, int(alike)))
-                if len(out) >= 20_000:
-                    yield _pairs_batch(out)
-                    out = []
-        yield _pairs_batch(out)
+        for rows, begins in _whole_groups(batches, 2):
+            members = _Members(rows)
+            lead, all_of_them = np.repeat(begins[:-1], np.diff(begins)), np.arange(rows.num_rows)
+            other = np.flatnonzero(lead != all_of_them)
+            alike = members.alike(lead[other], other)
+            found = alike > 0
+            yield _pairs_batch(members.cls[lead[other]][found], members.cls[other][found], alike[found])
 
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("met") / (16 * BLOCK)))
     central = rows.groupBy("cls").agg((-F.sum("met")).alias("place"))
@@ -203,32 +220,46 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, best: bool) -> DataFrame
 
     A key's members are dealt into blocks, and blocks meet two at a time, so no task holds a whole large key. Keys whose
     members are all in one component drop out first. Comparisons stay inside the tasks, and candidates alone come out; with
-    `best`, of each member the one that is most alike.
+    `best`, of each member the one that is most alike, among those that are compared together.
     """
 
     def pairs(batches):
-        out = []
-        for group in _groups(batches, 3):
-            low, high, side = group[0][1], group[0][2], np.array([g[3] for g in group])
-            doc, at, n, component = (np.array([g[k] for g in group], np.int64) for k in (4, 5, 6, 7))
-            sketches, halves = _brief(b"".join(g[8] for g in group), len(group))
-            for k in range(len(group) - (not best)):
-                rest = slice(0 if best else k + 1, None)
-                alike = _near(n[rest], n[k], sketches[rest], sketches[k])
-                alike[component[rest] == component[k]] = 0
-                if low != high:
-                    alike[side[rest] == side[k]] = 0
-                found = np.flatnonzero(alike)
-                found = found[_first_table(halves[rest][found], halves[k]) == at[k]] if len(found) else found
-                if best and len(found):
-                    found = found[np.lexsort((doc[found], -alike[found]))[:1]]
-                for j in found:
-                    a, b = int(doc[k]), int(doc[rest][j])
-                    out.append((a, b, int(alike[j])) if best else (min(a, b), max(a, b), int(alike[j])))
-                if len(out) >= 20_000:
-                    yield _pairs_batch(out)
-                    out = []
-        yield _pairs_batch(out)
+        for rows, begins in _whole_groups(batches, 3):
+            members = _Members(rows)
+            component, at, side = (rows.column(c).to_numpy() for c in ("component", "at", "own"))
+            low, high = (rows.column(c).to_numpy() for c in ("low", "high"))
+            found, n_found = [], 0
+            for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                if low[a] == high[a]:
+                    i, j = np.triu_indices(b - a, 1)
+                else:
+                    left = side[a:b] == low[a]
+                    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(left), np.flatnonzero(~left), indexing="ij"))
+                apart = component[a + i] != component[a + j]
+                found.append((a + i[apart], a + j[apart]))
+                n_found += len(found[-1][0])
+                if n_found > 8 * TOGETHER:
+                    yield candidates(members, at, found)
+                    found, n_found = [], 0
+            yield candidates(members, at, found)
+
+    def candidates(members, at, found):
+        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        for keep in (
+            lambda: 100 * np.minimum(members.n[i], members.n[j]) >= PERCENT * np.maximum(members.n[i], members.n[j]),
+            lambda: _first_table(members.halves[i], members.halves[j]) == at[i],
+        ):
+            kept = keep() if len(i) else np.zeros(0, bool)
+            i, j = i[kept], j[kept]
+        alike = members.alike(i, j)
+        i, j, alike = i[alike > 0], j[alike > 0], alike[alike > 0]
+        a, b = members.cls[i], members.cls[j]
+        if not best:
+            return _pairs_batch(np.minimum(a, b), np.maximum(a, b), alike)
+        a, b, alike = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([alike, alike])
+        order = np.lexsort((b, -alike, a))
+        first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+        return _pairs_batch(a[first], b[first], alike[first])
 
     labels = labels.select(F.col("node").alias("cls"), "component")
     rows = rows.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -257,9 +288,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Equal sets become one class (a partial aggregate, so thousands of copies cost nothing).
     3. Half keys that one class alone has are dropped; the rest form table keys.
     4. Each class is confirmed against its best leader; components are formed.
-    5. Twice, each class is confirmed against its best candidate in another component, and components are formed again:
-       this merges what belongs together from few pairs. Then every candidate that still lies between different components
-       is confirmed, so none is left out.
+    5. Each class is confirmed against its best candidate in another component, and components are formed again: this
+       merges what belongs together from few pairs. Then every candidate that still lies between different components is
+       confirmed, so none is left out.
     """
     signed = written(signatures(docs), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -280,23 +311,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     tested, used = first, [rows, first, sets, links]
-    for best in (True, True, False):
+    for best in (True, False):
         rest = remaining_pairs(rows, labels, best)
         if best:
             rest = rest.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-        links = written(links.unionByName(confirmed(rest, sets)), "confirmed")
-        labels = components(links)
+        more = written(confirmed(rest, sets), "confirmed")
+        used += [rest, more]
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
         tested = tested.unionByName(rest)
-        used += [rest, links]
     for table in used:  # what follows reads signatures, classes and labels alone
         drop_written(table)
 
     found = classes.select("digest", "doc_id", "cls").join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
     found = found.withColumn("component", F.coalesce("component", "cls"))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
-    by_set = found.join(least, "component").select("digest", "least")
+    # a component's id is its least doc_id, unless a class without the name of its own doc_id, which is negative, is in it
+    renamed = found.where("component < 0")
+    least = renamed.groupBy("component").agg(F.min("doc_id").alias("least"))
+    by_set = found.where("component >= 0").select("digest", F.col("component").alias("least")).unionByName(renamed.join(least, "component").select("digest", "least"))
     has_set = F.expr("n_shingles > 0 and doc_id is not null")
     out = signed.select("doc_id", "n_shingles", F.when(has_set, F.col("digest")).alias("digest")).distinct()
     out = out.join(by_set, "digest", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
@@ -307,13 +342,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns: of each component the document that gives it its id. Of rows with the
     same doc_id at most one stays (that with the least text); rows with a null doc_id all stay.
 
-    The texts are not shuffled as long as the ids that go are few enough to be broadcast, which Spark checks.
+    The texts are not shuffled as long as the ids that go are few enough for without_ids() to broadcast them.
     """
     verdicts = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
     verdicts = written(verdicts, "verdicts")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    apart = verdicts.where("not kept").select("doc_id").unionByName(repeated).distinct()
-    once = docs.join(apart, "doc_id", "left_anti").select(docs.columns)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    once = without_ids(docs, verdicts.where("not kept").select("doc_id").unionByName(repeated))
     again = docs.join(repeated.join(verdicts.where("kept"), "doc_id", "left_semi"), "doc_id", "left_semi").select(docs.columns)
     again = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
     return once.unionByName(again.select("row.*"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from heronry.llm import near_dup
 from heronry.llm.common import components
 from heronry.llm.near_dup import _near, keep_one_of_each, near_duplicates, sketch
 
@@ -58,6 +59,17 @@ def test_equals_all_pairs(spark):
     assert found(clashing(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]))) == brute(rows)
 
 
+def test_many_blocks_of_a_key(spark, monkeypatch):
+    """Keys of many more members than a block holds: copies in a cloud, and texts that share a passage without being alike."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "TOGETHER", 50)
+    rng = random.Random(7)
+    cloud, passage = words(rng, 100, 5000), words(rng, 60, 5000)
+    texts = [varied(rng, cloud, rng.randrange(8)) for _ in range(120)] + [passage + " " + words(rng, rng.choice([15, 30, 60]), 9000) for _ in range(120)]
+    rows = list(enumerate(texts))
+    assert found(docs_of(spark, texts)) == brute(rows)
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(4)
     a, b = words(rng, 30), words(rng, 30)
