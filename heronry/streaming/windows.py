@@ -24,9 +24,14 @@ def daily_types(events: DataFrame) -> DataFrame:
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Takes what is there into a Parquet sink, exactly once, and reads it. The folder must be shared by all executors; it
-    is the session's spark.checkpoint.dir unless given, and a new folder of this machine if that is unset, as in tests."""
+    is the session's spark.checkpoint.dir unless given; if that is unset, a new folder of this machine for a local session,
+    as in tests, and an error on a cluster, whose executors wouldn't see each other's files."""
     spark = stream.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
     sink.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
