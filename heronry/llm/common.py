@@ -19,12 +19,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, as in tests, a new
-    folder of this machine, which is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_heronry_shared", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share, or else the one that the session was given by
+    setCheckpointDir(). Where there is neither, a local session, as in tests, gets a new folder of this machine; a cluster
+    gets an error, as its executors wouldn't see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, "_heronry_shared", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark._heronry_shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from . import host_rules, secrets
+from . import secrets
 
+# The base rules as the query's contract states them, apart from the operator's own: kind, expression, group,
+# least length. A run of hex digits is asked for with its least length at once, as lists of all shorter runs would be long.
+BASE_RULES = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+)
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def _secret_spans() -> str:
     """A row a document with base_spans and spans: lists of structs (start, kind, end), in order."""
-    rules = secrets.BASE + secrets.MORE
+    rules = [*BASE_RULES, *((r.kind, r.pattern, r.group, r.least) for r in secrets.MORE)]
     names = [f"r{k}" for k in range(len(rules))]
     ctes = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"]
-    for name, kind, rule in zip(names, range(len(rules)), rules, strict=True):
-        rx = rule.pattern.replace("'", "''")
+    for kind, (name, (_, pattern, group, least)) in enumerate(zip(names, rules, strict=True)):
+        rx = pattern.replace("'", "''")
         ctes.append(f"""{name} AS (
-            SELECT doc_id, list_filter(list_transform(range(1, len(hits) + 1), lambda i: {{'start': before[i], 'kind': {kind}, 'end': before[i] + length(hits[i]), 'ok': length(vals[i]) >= {rule.least}}}), lambda s: s.ok) AS spans
+            SELECT doc_id, list_filter(list_transform(range(1, len(hits) + 1), lambda i: {{'start': before[i], 'kind': {kind}, 'end': before[i] + length(hits[i]), 'ok': length(vals[i]) >= {least}}}), lambda s: s.ok) AS spans
             FROM (SELECT *, list_transform(range(1, len(hits) + 1), lambda i: coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)) AS before
-                  FROM (SELECT doc_id, regexp_extract_all(t, '{rx}') AS hits, regexp_extract_all(t, '{rx}', {rule.group}) AS vals, regexp_split_to_array(t, '{rx}') AS gaps FROM d)))""")
-    n = len(secrets.BASE)
+                  FROM (SELECT doc_id, regexp_extract_all(t, '{rx}') AS hits, regexp_extract_all(t, '{rx}', {group}) AS vals, regexp_split_to_array(t, '{rx}') AS gaps FROM d)))""")
+    n = len(BASE_RULES)
     joined = " ".join(f"JOIN {x} USING (doc_id)" for x in names)
     merged = lambda of: "list_sort(" + "list_concat(" * (len(of) - 1) + f"{of[0]}.spans" + "".join(f", {x}.spans)" for x in of[1:]) + ")"
     ctes.append(f"a AS (SELECT doc_id, {merged(names[:n])} AS base_spans, {merged(names)} AS spans FROM d {joined})")
     return ",\n".join(ctes)
 
 
-_KIND_NAMES = "[" + ", ".join(f"'{r.kind}'" for r in secrets.BASE + secrets.MORE) + "]"
+_KIND_NAMES = "[" + ", ".join(f"'{kind}'" for kind in [r[0] for r in BASE_RULES] + [r.kind for r in secrets.MORE]) + "]"
 _SHOWN = f"array_to_string(list_transform({{}}, lambda s: {_KIND_NAMES}[s.kind + 1] || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.\"end\" AS BIGINT)), ',')"
 
 OP4 = f"""
 WITH {_secret_spans()}
-SELECT doc_id, {", ".join(f"CAST(len(list_filter(base_spans, lambda s: s.kind = {k})) AS BIGINT) AS n_{r.kind}" for k, r in enumerate(secrets.BASE))},
+SELECT doc_id, {", ".join(f"CAST(len(list_filter(base_spans, lambda s: s.kind = {k})) AS BIGINT) AS n_{r[0]}" for k, r in enumerate(BASE_RULES))},
        sha256({_SHOWN.format("base_spans")}) AS base_sha256, {_SHOWN.format("spans")} AS spans
 FROM a"""
 
@@ -46,12 +53,12 @@ m AS (
            CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
            CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
     FROM d JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-b AS (SELECT *, {host_rules.BASE_FAILED} AS base_failed FROM m),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY source),
 o AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2) AS v, count(*) / sum(n) AS per_n, sum(n) AS all_n FROM h),
 p AS (SELECT mean, CASE WHEN v > mean * (1 - mean) * per_n AND mean * (1 - mean) > v THEN (mean * (1 - mean) - v) / (v - mean * (1 - mean) * per_n) ELSE all_n END AS strength FROM o),
 r AS (SELECT source, n + strength + 2e-6 AS total, (f + mean * strength + 1e-6) / (n + strength + 2e-6) AS rate FROM h, p),
-x AS (SELECT source, rate - {host_rules.DEVIATIONS} * sqrt(rate * (1 - rate) / (total + 1)) > {host_rules.MOST_FAILING} AS rejected FROM r)
+x AS (SELECT source, rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5 AS rejected FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected) AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source"""
 

@@ -30,7 +30,6 @@ class Rule:
     pattern: str  #: for Java and Python alike
     group: int = 0  #: what must be long enough
     least: int = 1  #: its least length
-    ignore_case: str = ""  #: letters that stand for either case, as the alternatives they stand in
 
 
 _KEYS = r"password|passwd|secret|token|api_?key"
