@@ -1,18 +1,21 @@
 """WARC archives written from and read into tables of chunks.
 
-A payload larger than a chunk travels as rows of (record, chunk number): no step after the source holds a whole record.
-The writer streams the chunks of its partition into compressed archives, a gzip member a record; the reader streams an
-archive block by block and gives a row a chunk, with the length and the SHA-1 digest of the payload so far. The row of a
-record's last chunk so carries those of the whole payload.
+A payload larger than a chunk travels as rows of (record, chunk number): no step after the source, which has a payload as
+one value of a row, holds a whole record. The writer streams the chunks of its partition into compressed archives, a gzip
+member a record, and carries a digest along, which must come out as the header's; the reader streams an archive block by
+block and gives a row a chunk, with the length and the SHA-1 digest of the payload so far. The row of a record's last chunk
+so carries those of the whole payload. Payloads stay where the source has them: what refers to what is found from digests,
+and meets the pages in a broadcast of at most MOST_REVISITS rows; of more, chunk rows are shuffled, never records.
 
 Of records with equal payloads of at least LEAST_REVISITED bytes, that with the largest page_id is stored (response); the
-others refer to it (revisit). Equality is that of SHA-1 digest and length.
+others refer to it (revisit). Equality is that of SHA-1 digest and length. A revisit is read back only if the response that
+it refers to is there with that digest and length.
 
 What is defined for odd input:
 - A null html is an empty payload, a null url an empty one. Line breaks in a url are left out of its header.
 - Repeated rows are written as often as they stand there; equal rows that have the largest id are all responses. Rows with
   a null id are responses, and their id is read back as null.
-- Other columns are not read. An empty table gives archives without records, and an empty result.
+- Payloads of any length are written and read in chunks; ties in page_id are repeated rows. Other columns are not read. An empty table gives archives without records, and an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import new_path
+from .common import new_path, written
 
-CHUNK, LEAST_REVISITED, MOST_ARCHIVE = 1 << 20, 1000, 1 << 30
+CHUNK, LEAST_REVISITED, MOST_ARCHIVE = 1 << 16, 1000, 1 << 30
+#: Revisits that are broadcast, at most; about 120 bytes each.
+MOST_REVISITS = 500_000
 # Fixed values of the format.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archives made from tables say when the table was made, not when it was written; tables here don't know it.
@@ -39,46 +44,87 @@ DATE = "1970-01-01T00:00:00Z"
 _ID = "<urn:x-page:{}>"
 
 
-def records(pages: DataFrame, least_revisited: int = LEAST_REVISITED) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, record_type, refers_to): one row a page. Only digests are shuffled
-    to find equal payloads; the payloads move only if Spark finds the revisits too many to broadcast."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.select("page_id", "url", F.encode("html", "UTF-8").alias("payload"), F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("digest"))
-    large = rows.where(F.col("payload_bytes") >= least_revisited).select("page_id", "digest", "payload_bytes")
-    stored = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = large.join(stored, ["digest", "payload_bytes"]).where("page_id < refers_to").select("page_id", "digest", "payload_bytes", "refers_to").distinct()
-    rows = rows.join(revisits, ["page_id", "digest", "payload_bytes"], "left")
-    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    return rows.select("page_id", "url", "payload", "payload_bytes", "digest", kind.alias("record_type"), "refers_to")
+_PAYLOAD = ["page_id", "digest", "payload_bytes"]
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, digest) of each row."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
 
 
-def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(page_id, ..., chunk_no, data): the rows of a record follow each other in their partition. Revisits have no data."""
-    rows = records.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")))
-    last = F.floor(F.greatest(F.octet_length("payload") - 1, F.lit(0)) / chunk).cast("int")
+def revisits(pages: DataFrame, least_revisited: int = LEAST_REVISITED) -> DataFrame:
+    """(page_id, digest, payload_bytes, refers_to) of the pages whose payload another one stores. Only digests move."""
+    large = _rows(pages).where(F.col("payload_bytes") >= least_revisited).select(_PAYLOAD)
+    stored = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return large.join(stored, ["digest", "payload_bytes"]).where("page_id < refers_to").select(*_PAYLOAD, "refers_to").distinct()
+
+
+def chunked(pages: DataFrame, chunk: int = CHUNK, least_revisited: int = LEAST_REVISITED) -> DataFrame:
+    """(record, chunk_no, page_id, url, payload_bytes, digest, refers_to, data): the rows of a record follow each other in
+    their partition. Revisits, which have refers_to, are one row without data."""
+    again = written(revisits(pages, least_revisited), "revisits")
+    few = again.count() <= MOST_REVISITS
+    rows = _rows(pages).withColumn("record", F.monotonically_increasing_id())
+    if few:
+        rows = rows.join(F.broadcast(again), _PAYLOAD, "left")
+    stored = F.col("refers_to").isNull() if few else F.lit(True)
+    last = F.when(stored, F.floor(F.greatest(F.octet_length("payload") - 1, F.lit(0)) / chunk)).otherwise(0).cast("int")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    data = F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))
-    return rows.select("page_id", "url", "payload_bytes", "digest", "record_type", "refers_to", "chunk_no", data.alias("data"))
+    data = F.when(stored, F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    rows = rows.withColumn("data", data).drop("payload")
+    if not few:
+        rows = rows.join(again, _PAYLOAD, "left").where("refers_to is null or chunk_no = 0")
+        rows = rows.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b"")))
+        rows = rows.repartition("record").sortWithinPartitions("record", "chunk_no")
+    return rows.select("record", "chunk_no", "page_id", "url", "payload_bytes", "digest", "refers_to", "data")
 
 
 def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a path with scheme (of a shared disk, HDFS or an object store), and the path there."""
+    uri = re.sub(r"^s3[an]:", "s3:", uri)  # Spark's names of the same store
     return pa.fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", uri))
 
 
 def _header(row: dict) -> bytes:
     """The record's header and the head of its HTTP message."""
+    revisit = row["refers_to"] is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n"
-    stored = row["payload_bytes"] if row["record_type"] == "response" else 0
     digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
     url = re.sub(r"[\r\n]+", "", row["url"])
-    lines = [VERSION, f"WARC-Type: {row['record_type']}", "WARC-Record-ID: " + _ID.format(row["page_id"]), f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
-    if row["record_type"] == "revisit":
+    kind = "revisit" if revisit else "response"
+    lines = [VERSION, f"WARC-Type: {kind}", "WARC-Record-ID: " + _ID.format(row["page_id"]), f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if revisit:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", "WARC-Refers-To: " + _ID.format(row["refers_to"])]
-    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + stored}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else row['payload_bytes'])}"]
     return ("\r\n".join(lines) + "\r\n\r\n" + http).encode()
 
 
+class Packer:
+    """Packs chunk rows, in order, into a stream: a gzip member a record. It holds a chunk at a time."""
+
+    def __init__(self):
+        self.member = self.row = None
+
+    def add(self, row: dict, out) -> None:
+        if row["chunk_no"] == 0:
+            self.end(out)
+            self.member, self.so_far, self.row, self.seen = zlib.compressobj(3, zlib.DEFLATED, 31), hashlib.sha1(), row, 0
+            out.write(self.member.compress(_header(row)))
+        self.so_far.update(row["data"])
+        self.seen += len(row["data"])
+        out.write(self.member.compress(row["data"]))
+
+    def end(self, out) -> None:
+        """Ends the record that is open, if any, whose chunks must have given its length and digest."""
+        if self.row is not None:
+            row = self.row
+            if row["refers_to"] is None and (self.seen, self.so_far.hexdigest()) != (row["payload_bytes"], row["digest"]):
+                raise ValueError(f"the chunks of page {row['page_id']} are not its payload")
+            out.write(self.member.compress(b"\r\n\r\n") + self.member.flush())
+            self.row = None
+
+
 def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, most_archive: int = MOST_ARCHIVE) -> str:
     """Writes the pages as archives into a folder (a new one in the shared folder unless given), and returns it.
 
@@ -94,31 +140,27 @@ def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, most_
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, path = _place(folder)
-        out = packer = None
-        number = 0
+        out, packer, number = None, Packer(), 0
 
         def closed() -> None:
             out.close()
             fs.move(f"{path}/_{task.taskAttemptId()}-{number}", f"{path}/part-{task.partitionId():06d}-{number:04d}.warc.gz")
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["chunk_no"] == 0:
-                    if packer:
-                        out.write(packer.compress(b"\r\n\r\n") + packer.flush())
-                    if out and out.tell() > most_archive:
-                        closed()
-                        out, number = None, number + 1
-                    out = out or fs.open_output_stream(f"{path}/_{task.taskAttemptId()}-{number}")
-                    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    out.write(packer.compress(_header(row)))
-                out.write(packer.compress(row["data"]))
+            for at in range(batch.num_rows):  # row by row, as a batch of large chunks isn't wanted twice
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["chunk_no"] == 0 and out and out.tell() > most_archive:
+                    packer.end(out)
+                    closed()
+                    out, number = None, number + 1
+                out = out or fs.open_output_stream(f"{path}/_{task.taskAttemptId()}-{number}")
+                packer.add(row, out)
         if out:
-            out.write(packer.compress(b"\r\n\r\n") + packer.flush())
+            packer.end(out)
             closed()
         yield pa.RecordBatch.from_arrays([pa.array([number + bool(out)], pa.int64())], ["archives"])
 
-    chunked(records(pages), chunk).mapInArrow(stored, "archives long").agg(F.sum("archives")).collect()
+    chunked(pages, chunk).mapInArrow(stored, "archives long").agg(F.sum("archives")).collect()
     return folder
 
 
@@ -214,7 +256,7 @@ def read(spark: SparkSession, folder: str, chunk: int = CHUNK, with_data: bool =
                     for row in _chunks(stream, chunk):
                         rows.append(row)
                         held += len(row[-1]) + 200
-                        if held > 8 * CHUNK:
+                        if held > 8_000_000:
                             yield made(rows)
                             rows, held = [], 0
                 if rows:
@@ -226,6 +268,10 @@ def read(spark: SparkSession, folder: str, chunk: int = CHUNK, with_data: bool =
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): the pages after a round trip through archives."""
     spark = pages.sparkSession
-    rows = read(spark, write(pages, folder), with_data=False).where("last")
-    checked = F.when(F.col("header_digest") == F.col("digest_so_far"), F.col("digest_so_far")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
+    rows = written(read(spark, write(pages, folder), with_data=False).where("last"), "records")  # headers and digests alone
+    payload = F.struct(F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"))
+    stored = rows.where("record_type = 'response'").groupBy("page_id").agg(F.collect_set(payload).alias("stored"))  # one, but for repeated ids
+    rows = rows.join(stored.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
+    right = F.when(F.col("record_type") == "response", F.col("header_digest") == F.col("digest_so_far")).otherwise(F.coalesce(F.array_contains("stored", payload), F.lit(False)))
+    checked = F.when(right, F.col("digest_so_far")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
     return rows.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")

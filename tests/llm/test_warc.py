@@ -1,8 +1,12 @@
 import gzip
 import hashlib
+import io
 import random
+import tracemalloc
 from pathlib import Path
 
+import pytest
+
 from heronry.llm import warc
 from heronry.llm.common import new_path
 
@@ -19,7 +23,10 @@ def _pages(spark):
     return rows, clashing(spark.createDataFrame(rows, PAGES))
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("most_revisits", [warc.MOST_REVISITS, 0])
+def test_round_trip(spark, monkeypatch, most_revisits):
+    monkeypatch.setattr(warc, "MOST_REVISITS", most_revisits)  # 0: chunk rows meet the revisits in a shuffle
+    monkeypatch.setattr(warc.write, "__defaults__", (None, 700, 2000))
     rows, df = _pages(spark)
     largest = {}
     for i, _, h in rows:
@@ -56,5 +63,34 @@ def test_chunks_put_together_are_the_payload(spark):
     assert gzip.decompress(files[0].read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
+def test_no_step_holds_a_record():
+    """A payload of 64 MB is packed and read back in a few hundred kilobytes; chunks that aren't the payload are told."""
+    chunk, n, sha = random.Random(1).randbytes(1 << 16), 1024, hashlib.sha1()
+    for _ in range(n):
+        sha.update(chunk)
+    row = {"page_id": 1, "url": "u", "payload_bytes": n << 16, "digest": sha.hexdigest(), "refers_to": None, "data": chunk}
+    out, packer = io.FileIO("/dev/null", "w"), warc.Packer()
+    tracemalloc.start()
+    for k in range(n):
+        packer.add(row | {"chunk_no": k}, out)
+    packer.end(out)
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    tracemalloc.stop()
+    packed, packer = io.BytesIO(), warc.Packer()
+    for k in range(n):
+        packer.add(row | {"chunk_no": k}, packed)
+    packer.end(packed)
+    packed.seek(0)
+    tracemalloc.start()
+    for last in warc._chunks(packed, 1 << 16):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+    assert last[6] and last[7] == n << 16 and last[8] == sha.hexdigest()
+    packer.add(row | {"chunk_no": 0}, io.BytesIO())
+    with pytest.raises(ValueError):
+        packer.end(io.BytesIO())
+
+
 def test_no_rows(spark):
     assert warc.archived(spark.createDataFrame([], PAGES)).count() == 0
