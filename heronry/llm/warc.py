@@ -269,9 +269,9 @@ def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): the pages after a round trip through archives."""
     spark = pages.sparkSession
     rows = written(read(spark, write(pages, folder), with_data=False).where("last"), "records")  # headers and digests alone
-    payload = F.struct(F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"))
-    stored = rows.where("record_type = 'response'").groupBy("page_id").agg(F.collect_set(payload).alias("stored"))  # one, but for repeated ids
-    rows = rows.join(stored.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
-    right = F.when(F.col("record_type") == "response", F.col("header_digest") == F.col("digest_so_far")).otherwise(F.coalesce(F.array_contains("stored", payload), F.lit(False)))
-    checked = F.when(right, F.col("digest_so_far")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
+    claims = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "bytes_so_far", "digest_so_far").distinct()
+    stored = rows.where("record_type = 'response'").select("page_id", "bytes_so_far", "digest_so_far")
+    if not claims.join(stored, claims.columns, "left_anti").isEmpty():
+        raise ValueError("a revisit refers to a payload that isn't stored")
+    checked = F.when(F.col("header_digest") == F.col("digest_so_far"), F.col("digest_so_far")).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
     return rows.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), checked.alias("payload_digest"), "record_type", "refers_to")
