@@ -6,14 +6,19 @@ w.x - t_k with t_0 < t_1 < t_2. The result is the expected grade, and P(grade >
 Features are words without the marks around them, and the first 4 to 7 letters of words, as these stand for stems with
 any ending. Of all of them those are kept that the labelled rows tie to toxicity (chi squared, and more often in toxic
 rows). A word stands for the one of its kept features that has the highest chi squared, so an unseen ending weighs as much
-as one seen in learning. The labels know toxic or not only; the grade of a toxic row is taken from how many different kept features
-its words stand for: 1 below three, 2 below six, 3 from six.
+as one seen in learning.
 
-Limits of learning: at most MOST_LABELLED rows with a label, those with the lowest hash of their id, and MOST_FEATURES
-features. Scoring covers all rows and whole texts.
+The labels know toxic or not only. The grade of a toxic row is how strong the evidence for it is in rows that it isn't
+learned from: the labelled rows are dealt into two halves by their id, the log odds of each feature are taken from the other
+half, and the rows' sums of them are cut into thirds, grades 1 to 3. So a row's own label never makes its grade.
+
+Limits of learning: at most MOST_LABELLED rows with a label, those with the lowest hash of their id; the number of features
+is bounded by these rows, and no feature is left out. Scoring covers all rows and whole texts.
 
 What is defined for odd input:
 - Null or empty texts have no features and get the score of a text without them. Rows with a null id are scored.
+- Texts of any length are scored whole; a task holds one text and its distinct words. Equal texts get equal scores. Sums
+  that tie get the same grade. An empty table gives an empty result.
 - Labels that are null, and labels of unknown ids, are ignored. With no toxic or no clean labelled row there is nothing to
   learn: every row gets the share of toxic labels (0 without labels) as its probability.
 - Repeated rows are scored one by one. Other columns of the input are kept or ignored, never read.
@@ -21,6 +26,7 @@ What is defined for odd input:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-MOST_LABELLED, MOST_FEATURES = 20_000, 4_096
+MOST_LABELLED = 20_000
 STEMS = range(4, 8)
-#: Numbers of features at which grades 2 and 3 begin.
-GRADES_FROM = (3, 6)
 #: A feature must stand in so many toxic rows, have this chi squared at least and this log odds ratio.
 LEAST_TOXIC_ROWS, LEAST_CHI2, LEAST_LOG_ODDS = 5, 30.0, 3.5
 _MARKS = ".,;:!?#*$%&|\"'()[]{}<>-_~`"
@@ -113,7 +117,24 @@ def fitted(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: i
     return p[:n_features], p[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> Model:
+def graded_by_other_half(rows: list[np.ndarray], toxic: np.ndarray, half: np.ndarray, n_features: int) -> np.ndarray:
+    """Grades of rows: 0 where not toxic, else 1 to 3 by thirds of the row's sum of log odds that the rows of the other half
+    give its features. Features that the other half doesn't tie to toxicity add nothing."""
+    grades = np.zeros(len(rows), np.int64)
+    for own in (0, 1):
+        other = half != own
+        counts = [np.bincount(np.concatenate([r for r, o in zip(rows, other & side, strict=True) if o] or [np.zeros(0, np.int64)]), minlength=n_features) for side in (toxic, ~toxic)]
+        n = [(other & side).sum() for side in (toxic, ~toxic)]
+        odds = np.log((counts[0] + 0.5) * (n[1] - counts[1] + 0.5) / ((counts[1] + 0.5) * (n[0] - counts[0] + 0.5)))
+        odds = np.where(counts[0] > 0, np.maximum(odds, 0), 0)
+        at = np.flatnonzero((half == own) & toxic)
+        sums = np.array([odds[rows[k]].sum() for k in at])
+        if len(at):
+            grades[at] = 1 + np.searchsorted(np.quantile(sums, [1 / 3, 2 / 3]), sums, "left")
+    return grades
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     """A model from the labelled rows of docs; labels has doc_id and toxic (0 or 1)."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)  # bounded, so it may be broadcast
@@ -139,12 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     odds = F.log((b + 0.5) * (n - n1 - c + 0.5) / ((c + 0.5) * (n1 - b + 0.5)))
     chi2 = n * F.pow(b * (n - n1 - c) - c * (n1 - b), F.lit(2)) / (F.lit(float(n1)) * (n - n1) * (b + c) * (n - b - c) + 1e-9)
     ranked = df.select("feature", odds.alias("odds"), chi2.alias("chi2")).where((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("chi2") >= LEAST_CHI2))
-    best = np.array([r[0] for r in ranked.orderBy(F.desc("chi2"), "feature").limit(most_features).select("feature").collect()], np.int64)
+    best = np.array([r[0] for r in ranked.orderBy(F.desc("chi2"), "feature").select("feature").collect()], np.int64)  # bounded by the sample
     ranks = np.argsort(best)
     features = best[ranks]
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(lambda w: _known(w, features, ranks))
+        kept = _Kept(_known(features, ranks))
         for batch in batches:
             found = [_places(t, kept) for t in batch[2]]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1].cast(pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "toxic", "columns"])
@@ -152,19 +173,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     sample = texts.mapInArrow(graded, "doc_id long, toxic int, columns array<long>").toPandas()  # at most most_labelled rows
     sample = sample.sort_values("doc_id", kind="stable")  # sums in a fixed order
     columns = [np.asarray(c, np.int64) for c in sample["columns"]]
-    grades = np.where(sample["toxic"] > 0, 1 + np.searchsorted(GRADES_FROM, [len(c) for c in columns], "right"), 0)
+    half = np.array([zlib.crc32(str(i).encode()) & 1 for i in sample["doc_id"]], np.int64)
+    grades = graded_by_other_half(columns, sample["toxic"].to_numpy() > 0, half, len(features))
     weights, thresholds = fitted(columns, grades, len(features))
     return Model(features, ranks, weights, thresholds)
 
 
-def _known(word: str, features: np.ndarray, ranks: np.ndarray) -> int:
-    """The place in `features` of the best one that the word has; -1 if it has none."""
-    hashes = np.array(word_features(word), np.int64)
-    if not len(features) or not len(hashes):
-        return -1
-    at = np.minimum(np.searchsorted(features, hashes), len(features) - 1)
-    at = at[features[at] == hashes]
-    return int(at[ranks[at].argmin()]) if len(at) else -1
+def _known(features: np.ndarray, ranks: np.ndarray):
+    """A function from a word to the place in `features` of the best one that it has; -1 if it has none."""
+    place = {int(h): k for k, h in enumerate(features)}
+    rank = ranks.tolist()
+
+    def known(word: str) -> int:
+        found = [place[h] for h in word_features(word) if h in place]
+        return min(found, key=rank.__getitem__) if found else -1
+
+    return known
 
 
 def _places(text: pa.Scalar, kept: _Kept) -> np.ndarray:
@@ -178,11 +202,11 @@ def score(docs: DataFrame, model: Model, new: tuple[str, str, str] = ("toxic_pro
     """docs, all columns, with three new ones: the probability of a grade above 0, the expected grade (0 to 3), and whether
     that probability is at least one half. Names that docs has already are taken over by the new columns."""
     columns = [c for c in docs.columns if c not in new]
-    known = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES features
+    known = docs.sparkSession.sparkContext.broadcast(model)  # bounded like the sample
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
-        kept = _Kept(lambda w: _known(w, model.features, model.ranks))
+        kept = _Kept(_known(model.features, model.ranks))
         for batch in batches:
             sums = np.zeros(batch.num_rows)
             for i, t in enumerate(batch.column("text").cast(pa.binary())):
