@@ -12,6 +12,8 @@ matrices; then each block is decoded between the states found for its ends.
 What is defined for odd input:
 - A null text is an empty line. Lines of a conversation are taken in order of line_no, then of their text; a null line_no
   comes first. Rows with a null conv_id are one conversation. Repeated rows are lines of their own.
+- conv_id may be of any type that Spark gives to Arrow. In formatted() turns are numbered up to 2^31; a turn may have as many
+  lines as a text can. A block of 256 turns is held by one task; rows with null or repeated turn numbers share a block.
 - For learning, rows with roles other than those known are left out. Without any, all counts are those of smoothing.
 - Other columns are not read. An empty table gives an empty result.
 """
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import crc_mod, written
 
@@ -96,8 +99,9 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tupl
         yield key, rows
 
 
-def fit(turns: DataFrame) -> Model:
-    """A model from (conv_id, line_no, text, role, first): lines whose role is known, first where a turn begins."""
+def fit(turns: DataFrame, block: int = BLOCK) -> Model:
+    """A model from (conv_id, line_no, text, role, first): lines whose role is known, first where a turn begins; `block` as
+    in parse()."""
 
     def shown(batches):
         for batch in batches:
@@ -110,8 +114,14 @@ def fit(turns: DataFrame) -> Model:
     kind = turns.schema["conv_id"].dataType.simpleString()
     known = turns.where(F.col("role").isin(*ROLES)).select("conv_id", F.col("line_no").cast("long").alias("line_no"), "text", "role", "first")
     rows = written(known.mapInArrow(shown, f"conv_id {kind}, line_no long, state int, m0 int, m1 int, m2 int"), "line-features")
-    before = F.lag("state").over(Window.partitionBy("conv_id").orderBy("line_no"))
-    steps = rows.select(before.alias("a"), F.col("state").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # within a block by a window, over its beginning by a table with a row a block, so that no conversation is one task
+    rows = rows.withColumn("block", F.floor(F.col("line_no") / block).cast("long"))
+    ends = rows.groupBy("conv_id", "block").agg(F.max_by("state", "line_no").alias("last"))
+    ends = ends.withColumn("carried", F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")))
+    ends = ends.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "carried")
+    within = F.lag("state").over(Window.partitionBy("conv_id", "block").orderBy("line_no"))
+    steps = rows.withColumn("within", within).join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    steps = steps.select(F.coalesce("within", "carried").alias("a"), F.col("state").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     counts = {("step" if r["a"] is not None else "start", r["a"] or 0, r["b"]): r["n"] for r in steps.collect()}  # at most N * N + N rows
     for k in range(3):
         for r in rows.groupBy("state", f"m{k}").agg(F.count("*").alias("n")).collect():  # at most N times the classes
@@ -159,7 +169,7 @@ def parse(lines: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
         doubles = pa.list_(pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (kinds[0], pa.int64(), doubles, doubles), strict=True)], ["conv_id", "block", "total", "first"])
 
-    kinds = [pa.int64() if conv == "bigint" else pa.int32() if conv == "int" else pa.string()]
+    kinds = [to_arrow_type(lines.schema["conv_id"].dataType)]
 
     def ends(batches):
         out = []
@@ -222,8 +232,8 @@ STYLES = (
     {"system": "[system] {}", "user": "[user] {}", "assistant": "[assistant] {}"},
     {"system": "<|system|>\n{}", "user": "<|user|>\n{}", "assistant": "<|assistant|>\n{}"},
 )
-#: Line numbers of a turn begin at its number times this.
-TURN = 1 << 20
+#: Line numbers of a turn begin at its number times this, which is more than the lines that a text can have.
+TURN = 1 << 32
 
 
 def transcript_lines(conversations: DataFrame, unmarked_percent: int = 15) -> DataFrame:
@@ -251,5 +261,5 @@ def formatted(conversations: DataFrame, model: Model | None = None) -> DataFrame
     on the conversations whose crc32(conv_id as text) mod 5 is not 0."""
     lines = transcript_lines(conversations)
     if model is None:
-        model = fit(lines.where(crc_mod(F.col("conv_id"), 5) != 0))
+        model = fit(lines.where(crc_mod(F.col("conv_id"), 5) != 0), 256 * TURN)
     return parse(lines, model, 256 * TURN)

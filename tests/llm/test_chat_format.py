@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from heronry.llm.chat_format import N, TURN, Model, _decoded, fit, formatted, parse, seen, transcript_lines
 
@@ -46,7 +47,7 @@ def test_best_path_is_that_of_all_paths():
 def test_blocks_change_nothing(spark):
     lines = transcript_lines(spark.createDataFrame(_conversations(12), TURNS))
     model = fit(lines)
-    numbered = lines.selectExpr("1L as conv_id", "conv_id * 1000 * 1048576 + line_no as line_no", "text")  # one long conversation
+    numbered = lines.selectExpr("1L as conv_id", f"conv_id * 1000 * {TURN} + line_no as line_no", "text")  # one long conversation
     whole = parse(numbered, model, 1 << 60).collect()
     parts = parse(numbered, model, 3 * TURN).collect()
     at = lambda rows: {r["line_no"]: (r["role"], r["text"]) for r in rows if not r["continues"]}
@@ -59,6 +60,30 @@ def test_markers():
     assert seen("Human: hello")[3] == "hello"
 
 
+def test_ids_of_any_type_and_turns_of_any_length(spark):
+    rows = spark.createDataFrame(_conversations(6), TURNS)
+    wanted = {(int(r["conv_id"]), r["line_no"], r["role"]) for r in formatted(rows, fit(transcript_lines(rows))).collect()}
+    for kind in ("smallint", "decimal(20,0)", "double"):
+        df = rows.withColumn("conv_id", F.col("conv_id").cast(kind))
+        lines = transcript_lines(rows).withColumn("conv_id", F.col("conv_id").cast(kind))  # the same styles, which follow hashes
+        assert {(int(r["conv_id"]), r["line_no"], r["role"]) for r in parse(lines, fit(lines, 2 * TURN), 256 * TURN).collect()} == wanted
+        assert formatted(df).schema["conv_id"].dataType == df.schema["conv_id"].dataType
+    long = spark.createDataFrame([(1, 0, "user", "\n" * (1 << 20) + "end"), (1, 1, "assistant", "yes")], TURNS)
+    at = transcript_lines(long).agg(F.count_distinct("line_no").alias("n"), F.count("*").alias("rows"), F.max(F.when(F.col("role") == "user", F.col("line_no"))).alias("last")).first()
+    assert at["n"] == at["rows"] and at["last"] < TURN
+
+
+def test_unmarked_turns(spark):
+    """The only turns that need more than their marker. These texts have no more structure than lengths and ends of lines."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    bare = turns.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(100)) < 15).collect()
+    found = {(r["conv_id"], r["line_no"] // TURN): r["role"] for r in formatted(turns).collect() if r["line_no"] % TURN == 0}
+    got = [found.get((r["conv_id"], r["turn"])) == r["role"] for r in bare]
+    starts = [(r["conv_id"], r["turn"]) in found for r in bare]
+    print(len(bare), np.mean(starts), np.mean(got))
+    assert np.mean(starts) > 0.4 and np.mean(got) > 0.35
+
+
 def test_odd_input(spark):
     rows = [(None, 0, "user", "x"), (1, None, "user", None), (1, 0, None, ""), (1, 0, None, ""), (2, 1, "robot", "User:"), (3, 0, "user", "long " * 50_000)]
     found = formatted(spark.createDataFrame(rows, TURNS)).collect()
