@@ -42,3 +42,17 @@ def test_bad_hosts_are_rejected_and_small_ones_spared(spark):
 
 def test_no_rows(spark):
     assert verdicts(docs_of(spark, [])).count() == 0
+
+
+def test_prior_by_hand(spark):
+    """Three hosts of 100, 100 and 200 rows with 90, 10 and 40 failures: mean 0.35, variance between hosts 0.1025, of which
+    chance gives 0.00170625, so the prior weighs 0.125 / 0.10079375 rows."""
+    from heronry.llm.host_rules import hosts
+
+    rows = [(host, k < failed) for host, n, failed in (("a", 100, 90), ("b", 100, 10), (None, 200, 40)) for k in range(n)]
+    got = {r["host"]: r for r in hosts(spark.createDataFrame(rows, "host string, bad boolean"), "bad").collect()}
+    weight = 0.125 / 0.10079375
+    for host, n, failed in (("a", 100, 90), ("b", 100, 10), (None, 200, 40)):
+        assert abs(got[host]["prior_a"] - 0.35 * weight) < 1e-5 and abs(got[host]["prior_b"] - 0.65 * weight) < 1e-5
+        assert abs(got[host]["rate"] - (failed + 0.35 * weight) / (n + weight)) < 1e-6
+        assert got[host]["rejected"] == (host == "a")
