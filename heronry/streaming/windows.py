@@ -1,57 +1,122 @@
-"""Event windows over a stream of files."""
+"""Event windows and sessions over a stream of files.
+
+Windows and sessions close once the latest event of a batch is LATENESS beyond their end. Events that arrive in a later batch
+for what is closed are left out, and of events with one event_id that arrive within LATENESS the first alone counts. Rows
+with a null time belong to no window.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.money import exact_sum
 
 WINDOW, LATENESS = "1 day", "10 minutes"
+#: Sessions end before a gap of more than this; an event exactly that much later still belongs to one.
+GAP = "12 hours"
+
+
+def _once(events: DataFrame) -> DataFrame:
+    if events.isStreaming:
+        return events.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_id"])
+    return events.dropDuplicates(["event_id"])
 
 
 def daily_types(events: DataFrame) -> DataFrame:
     """A stream or table with ts (timestamp), event_id, event_type and value: events and their value by day and type, each
-    event_id once within the lateness. From a stream only windows that are closed come out."""
-    once = events.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
-    rows = once.groupBy(F.window("ts", WINDOW).alias("w"), "event_type")
+    event_id once within the lateness. From a stream, run_available() gives the windows that are closed, run_updates() all."""
+    rows = _once(events).groupBy(F.window("ts", WINDOW).alias("w"), "event_type")
     rows = rows.agg(F.count("*").alias("n_events"), exact_sum(F.col("value"), 2).alias("value"))
     return rows.select(F.unix_micros("w.start").alias("from_at"), "event_type", "n_events", "value")
 
 
-def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Takes what is there into a Parquet sink, exactly once, and reads it. The folder must be shared by all executors; it
-    is the session's spark.checkpoint.dir unless given; if that is unset, a new folder of this machine for a local session,
-    as in tests, and an error on a cluster, whose executors wouldn't see each other's files."""
-    spark = stream.sparkSession
+def user_sessions(events: DataFrame) -> DataFrame:
+    """A stream or table with ts, event_id, user_id and value: the sessions of users with their events and value. A session
+    comes out of a stream once no event that isn't late could still join it; until then its state is one row."""
+    rows = _once(events.where("ts is not null")).groupBy(F.session_window("ts", GAP).alias("w"), "user_id")
+    rows = rows.agg(F.max("ts").alias("last"), F.count("*").alias("n_events"), exact_sum(F.col("value"), 2).alias("value"))
+    return rows.select("user_id", F.unix_micros("w.start").alias("first_at"), F.unix_micros("last").alias("last_at"), "n_events", "value")
+
+
+def _new_place(spark: SparkSession, folder: str | None) -> str:
+    """A new folder under the given one, which all executors must share, or under the session's spark.checkpoint.dir; if that
+    is unset, one of this machine for a local session, as in tests, and an error on a cluster, whose executors wouldn't see
+    each other's files."""
     base = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Takes what is there into a Parquet sink, exactly once, and reads it: rows that are final. For the folder see
+    _new_place()."""
+    place = _new_place(stream.sparkSession, folder)
     sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
     sink.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
-def streamed_daily_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """daily_types() over the event table, read as a stream of files."""
+def run_updates(stream: DataFrame, keys: list[str | Column], folder: str | None = None) -> DataFrame:
+    """Takes what is there, and gives the latest row of each key: groups that are still open too. Each batch writes the rows
+    that it changed to a folder of its own, so that a batch that is run again after a failure replaces what it wrote."""
+    spark, place = stream.sparkSession, _new_place(stream.sparkSession, folder)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/rows/batch={batch}")
+
+    sink = stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{place}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).option("basePath", f"{place}/rows").parquet(f"{place}/rows/batch=*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("latest")).select("latest.*")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # by a pattern: a stream takes a plain path for a folder, and the table may be a single file
-    events = spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
-    return run_available(daily_types(events))
+    return spark.readStream.schema(schema).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def streamed_daily_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_types() over the event table, read as a stream of files: closed windows."""
+    return run_available(daily_types(_event_stream(spark, sf_dir)))
+
+
+def streamed_daily_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """daily_types() over the event table, read as a stream of files: all windows, as they stand at the end of what is there."""
+    return run_updates(daily_types(_event_stream(spark, sf_dir)), ["from_at", "event_type"])
+
+
+def streamed_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_sessions() over the event table, read as a stream of files: closed sessions."""
+    return run_available(user_sessions(_event_stream(spark, sf_dir)))
 
 
-QUERIES = {"streamed_daily_types": streamed_daily_types}
+QUERIES = {f.__name__: f for f in (streamed_daily_types, streamed_daily_updates, streamed_user_sessions)}
+_VALUE = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value"
 ORACLE_SQL = {
-    "streamed_daily_types": """
-        SELECT from_at, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value
+    "streamed_daily_types": f"""
+        SELECT from_at, event_type, count(*) AS n_events, {_VALUE}
         FROM (SELECT *, 86400000000 * (epoch_us(ts) // 86400000000) AS from_at FROM events)
         WHERE from_at + 86400000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)
         GROUP BY from_at, event_type""",
+    "streamed_daily_updates": f"""
+        SELECT 86400000000 * (epoch_us(ts) // 86400000000) AS from_at, event_type, count(*) AS n_events, {_VALUE}
+        FROM events GROUP BY ALL""",
+    "streamed_user_sessions": f"""
+        SELECT user_id, min(micros) AS first_at, max(micros) AS last_at, count(*) AS n_events, {_VALUE}
+        FROM (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY micros, event_id) AS session
+              FROM (SELECT *, epoch_us(ts) AS micros,
+                           CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 43200000000 THEN 0 ELSE 1 END AS starts
+                    FROM events))
+        GROUP BY user_id, session
+        HAVING max(micros) + 43200000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",
 }
