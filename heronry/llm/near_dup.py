@@ -37,6 +37,9 @@ HALVES, WIDTH = 10, 2
 BINS, DEVIATIONS = 256, 4.0
 #: Members of one table key that are compared by one group; larger keys are dealt over more groups.
 BLOCK = 1024
+#: Members of one table key beyond which those that are still in different components are compared by their rarest members
+#: (rare_keys) and no longer all with all.
+OVERFULL = 16 * BLOCK
 PERCENT = 75
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -214,13 +217,41 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("key", "block", "place", "cls").mapInArrow(pairs, PAIRS)
 
 
-def remaining_pairs(rows: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys that classes of different components have, with the component of each."""
+    rows = rows.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    open_keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    return rows.join(open_keys.select("key"), "key")
+
+
+def rare_keys(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, key, met, at) for classes of (cls, n_shingles) that meet in over-full tables: a key for each of their rarest
+    shingles, `at` is -1.
+
+    Shingles are put in order by the number of these classes that have them. Two sets of which one has n members have at
+    least 0.75 n in common if they are linked, so the first n - ceil(0.75 n) + 1 of the one and those of the other share a
+    shingle: no link between these classes is lost. A passage that unlike texts share is frequent and comes last, so it no
+    longer brings them together. The rows grow with the texts of these classes.
+    """
+    tokens = sets.join(classes, "cls").select("cls", "n_shingles", F.explode("members").alias("key"))
+    shared = tokens.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared")
+    listed = tokens.join(shared, "key").groupBy("cls", "n_shingles").agg(ranked)
+    # shingles that no other class has come first and need no row
+    first = F.size("shared") - F.ceil(F.col("n_shingles") * PERCENT / 100) + 1
+    keys = listed.select("cls", F.explode(F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("cls", "x.key")
+    met = keys.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
+    return keys.join(met, "key").withColumn("at", F.lit(-1))
+
+
+def remaining_pairs(rows: DataFrame, labels: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
     """Other candidates: pairs that meet in a table and are in different components so far, each in the first table that
     its members share.
 
     A key's members are dealt into blocks, and blocks meet two at a time, so no task holds a whole large key. Keys whose
-    members are all in one component drop out first. Comparisons stay inside the tasks, and candidates alone come out; with
-    `best`, of each member the one that is most alike, among those that are compared together.
+    members are all in one component drop out first; what is left of over-full keys meets by rare_keys() instead.
+    Comparisons stay inside the tasks, and candidates alone come out; with `best`, of each member the one that is most alike,
+    among those that are compared together.
     """
 
     def pairs(batches):
@@ -247,7 +278,7 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, best: bool) -> DataFrame
         i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
         for keep in (
             lambda: 100 * np.minimum(members.n[i], members.n[j]) >= PERCENT * np.maximum(members.n[i], members.n[j]),
-            lambda: _first_table(members.halves[i], members.halves[j]) == at[i],
+            lambda: (at[i] < 0) | (_first_table(members.halves[i], members.halves[j]) == at[i]),
         ):
             kept = keep() if len(i) else np.zeros(0, bool)
             i, j = i[kept], j[kept]
@@ -262,9 +293,13 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, best: bool) -> DataFrame
         return _pairs_batch(a[first], b[first], alike[first])
 
     labels = labels.select(F.col("node").alias("cls"), "component")
-    rows = rows.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    rows = rows.join(open_keys.select("key"), "key")
+    overfull = rows.where(F.col("met") > OVERFULL)
+    rows = _open(rows.where(F.col("met") <= OVERFULL), labels)
+    if not overfull.isEmpty():
+        classes = _open(overfull, labels).groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("brief").alias("brief"))
+        classes = written(classes, "overfull")
+        rare = _open(written(rare_keys(classes.select("cls", "n_shingles"), sets), "rare"), labels)
+        rows = rows.unionByName(rare.join(classes, "cls"))
     blocks = F.ceil(F.col("met") / BLOCK).cast("long")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -312,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tested, used = first, [rows, first, sets, links]
     for best in (True, False):
-        rest = remaining_pairs(rows, labels, best)
+        rest = remaining_pairs(rows, labels, sets, best)
         if best:
             rest = rest.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

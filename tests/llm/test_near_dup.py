@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from heronry.llm import near_dup
 from heronry.llm.common import components
@@ -59,10 +60,13 @@ def test_equals_all_pairs(spark):
     assert found(clashing(docs_of(spark, [t for _, t in rows], [i for i, _ in rows]))) == brute(rows)
 
 
-def test_many_blocks_of_a_key(spark, monkeypatch):
-    """Keys of many more members than a block holds: copies in a cloud, and texts that share a passage without being alike."""
+@pytest.mark.parametrize("overfull", [10**6, 12])
+def test_many_blocks_of_a_key(spark, monkeypatch, overfull):
+    """Keys of many more members than a block holds: copies in a cloud, and texts that share a passage without being alike;
+    compared block by block, and by their rarest shingles."""
     monkeypatch.setattr(near_dup, "BLOCK", 8)
     monkeypatch.setattr(near_dup, "TOGETHER", 50)
+    monkeypatch.setattr(near_dup, "OVERFULL", overfull)
     rng = random.Random(7)
     cloud, passage = words(rng, 100, 5000), words(rng, 60, 5000)
     texts = [varied(rng, cloud, rng.randrange(8)) for _ in range(120)] + [passage + " " + words(rng, rng.choice([15, 30, 60]), 9000) for _ in range(120)]
@@ -70,6 +74,26 @@ def test_many_blocks_of_a_key(spark, monkeypatch):
     assert found(docs_of(spark, texts)) == brute(rows)
 
 
+def test_rare_keys_lose_no_link(spark):
+    """Every pair that is alike shares one of its rarest shingles; texts with nothing but a passage in common share none."""
+    rng = random.Random(8)
+    passage = words(rng, 60, 5000)
+    texts = [passage + " " + words(rng, 40, 10**6) for _ in range(40)]
+    texts += [varied(rng, rng.choice(texts), rng.randrange(1, 5)) for _ in range(60)] + [words(rng, k, 30) for k in (1, 2, 5, 6, 8)]
+    sets = {k: [hash(x) for x in shingle_set(t)] for k, t in enumerate(texts)}
+    sets[200] = sets[4][:]
+    rows = spark.createDataFrame(list(sets.items()), "cls long, members array<long>")
+    keys = near_dup.rare_keys(rows.selectExpr("cls", "cast(size(members) as long) n_shingles"), rows).collect()
+    meet = defaultdict(set)
+    for r in keys:
+        meet[r["key"]].add(r["cls"])
+    assert all(r["met"] == len(meet[r["key"]]) and r["at"] == -1 for r in keys)
+    pairs = {(a, b) for group in meet.values() for a in group for b in group if a < b}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    assert alike and alike <= pairs
+    assert not any(a < b < 40 for a, b in pairs)
+
+
 def test_repeated_and_null_ids(spark):
     rng = random.Random(4)
     a, b = words(rng, 30), words(rng, 30)
