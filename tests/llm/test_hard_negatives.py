@@ -1,0 +1,93 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heronry.llm import hard_negatives
+from heronry.llm.hard_negatives import Index, centres, nearest
+from heronry.llm.hard_negatives import hard_negatives as mined
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows):
+    """The rows of the contract, by comparing every anchor with every row."""
+    kept = {}
+    for vec_id, x, label in rows:
+        if None in (vec_id, label, x) or not x or any(v is None or not math.isfinite(v) for v in x):
+            continue
+        label = (label + 1) % 10 if vec_id % 7 == 0 else label
+        kept[vec_id] = (label, [math.floor(256 * float(np.float32(v))) for v in x])
+    out = set()
+    for anchor, (label, q) in kept.items():
+        if anchor % 50:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(q, r, strict=True)), i, own == label) for i, (own, r) in kept.items() if i != anchor)
+        for s, positive, _ in [x for x in scored if x[2]][:5]:
+            inside = [(n, i) for n, i, same in scored if not same and 50 * -s <= 100 * -n <= 95 * -s]
+            out |= {(anchor, positive, k + 1, i, -s, -n) for k, (n, i) in enumerate(inside[:3])}
+    return out
+
+
+def found(df):
+    return [tuple(r) for r in mined(df).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()]
+
+
+def vectors(n, dims, seed, labels=3):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(6, dims))
+    x = middles[rng.integers(0, 6, n)] + 0.4 * rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return [(i, [float(v) for v in x[i].astype(np.float32)], int(rng.integers(0, labels))) for i in range(n)]
+
+
+@pytest.mark.parametrize("dims", [8, 7])
+def test_equals_all_pairs(spark, dims, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "CODES", 8)
+    monkeypatch.setattr(hard_negatives, "SEED", 20)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 7)  # large cells are dealt over several groups
+    rows = vectors(400, dims, dims)
+    got = found(spark.createDataFrame(rows, SCHEMA))
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_odd_rows_ties_and_names(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "SEED", 5)
+    rows = vectors(120, 4, 9)
+    same = rows[0][1]
+    rows += [(1000 + i, same, i % 2) for i in range(300)]  # one very common vector, in anchors as well
+    rows += [(5000, None, 1), (5001, [1.0, None, 0.5, 0.1], 1), (5050, [float("nan"), 0.0, 0.0, 1.0], 2), (5100, [float("inf"), 0.0, 0.0, 1.0], 2), (5150, same, None), (None, same, 1), (5200, [], 1)]
+    rows += [(5250, [0.0, 0.0, 0.0, 0.0], 1), (5300, [-x for x in same], 2)]
+    frame = spark.createDataFrame(rows + rows[:50], SCHEMA)
+    odd = frame.withColumns({"a.b": F.lit(1), "q": F.lit("x"), "score": F.lit(0), "cell": F.lit(2), "row": F.lit(3)})
+    got = found(odd)
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_other_lengths_and_huge_components_take_no_part(spark):
+    rows = vectors(100, 4, 3)
+    more = [(200, [0.5] * 3, 1), (250, [1e30, 0.0, 0.0, 0.0], 1)]
+    assert set(found(spark.createDataFrame(rows + more, SCHEMA))) == brute(rows)
+    assert found(spark.createDataFrame([], SCHEMA)) == []
+    assert found(spark.createDataFrame([(50, [1.0, 0.0], 1)], SCHEMA)) == []
+
+
+def test_cells_come_in_order_and_bounds_hold():
+    rng = np.random.default_rng(1)
+    x = np.floor(256 * rng.normal(size=(500, 6)))
+    halves = x[:, :3], x[:, 3:]
+    books = tuple(centres(h, 5) for h in halves)
+    codes = [nearest(h, b) for h, b in zip(halves, books, strict=True)]
+    radii = tuple(np.array([d[own == k].max(initial=0) for k in range(5)]) for own, d in codes)
+    cell = codes[0][0] * 5 + codes[1][0]
+    index = Index(books, radii, np.bincount(cell, minlength=25))
+    q = x[7]
+    visits = list(index.visits(q, 2**60))
+    assert [c for _, c in visits] and {c for _, c in visits} == set(cell.tolist())
+    assert all(a >= b for (a, _), (b, _) in zip(visits, visits[1:], strict=False))
+    for bound, c in visits:
+        assert (x[cell == c] @ q).max() <= bound
+    top = float(np.median(x @ q))  # cells that are passed over hold nothing up to the window's top
+    passed = {c for _, c in visits} - {c for _, c in index.visits(q, top)}
+    assert all((x[cell == c] @ q).min() > top for c in passed)
