@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import alignment, chat_format, decontamination, hard_negatives, host_rules, lattice_lm, near_dup, oracles, packing, quality, secrets, toxicity, warc
+from . import alignment, chat_format, decontamination, hard_negatives, host_rules, lattice_lm, near_dup, ngram_join, oracles, packing, quality, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
