@@ -31,6 +31,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,28 +94,48 @@ class Aligner:
         self.numbers = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links; n_a is -1 where the bytes differ
         self.links = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget_rare(self) -> None:
+        """Keeps the most used units, half as many and as many bytes as may be kept."""
+        size = np.array([len(t) for t in self.texts])
+        order = np.argsort(-self.uses, kind="stable")[: MOST_UNITS // 2]
+        kept = np.sort(order[np.cumsum(size[order]) <= MOST_UNIT_BYTES // 2])
+        names = list(self.known)
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.texts = [self.texts[k] for k in kept.tolist()]
+        self.n_bytes = int(size[kept].sum())
+        n = self.numbers[kept, 3]
+        self.links = self.links[np.repeat(self.first[kept] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        self.numbers, self.uses, self.first = self.numbers[kept], self.uses[kept], np.cumsum(n) - n
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.known) > MOST_UNITS or self.n_bytes > MOST_UNIT_BYTES:
-            self.forget()
+            self.forget_rare()
         new = list(set().union(*lists).difference(self.known))
         if not new:
             return
         ids_a = [e.ids for e in self.a.encode_batch_fast([f" {u}" for u in new], add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
-        whole = [f" {u}".encode() for u in new]
-        good = [b"".join(map(self.bytes_a.__getitem__, a)) == w == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, w in zip(ids_a, ids_b, whole, strict=True)]
-        fine = [k for k, g in enumerate(good) if g]
+        whole = "".join([f" {u}" for u in new]).encode()
+        if all(b"".join(map(of.__getitem__, chain.from_iterable(ids))) == whole for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            fine = list(range(len(new)))
+        else:
+            same = lambda of, ids, u: b"".join(map(of.__getitem__, ids)) == f" {u}".encode()
+            fine = [k for k, u in enumerate(new) if same(self.bytes_a, ids_a[k], u) and same(self.bytes_b, ids_b[k], u)]
+            ids_a, ids_b = [[ids[k] for k in fine] for ids in (ids_a, ids_b)]
         numbers = np.full((len(new), 4), -1, np.int64)
         numbers[:, 1:] = 0
         texts = [b""] * len(new)
         links = np.zeros(0, np.uint64)
         if fine:
-            sizes = [np.array([len(ids[k]) for k in fine]) for ids in (ids_a, ids_b)]
-            a, b = (np.concatenate([ids[k] for k in fine]).astype(np.int64) for ids in (ids_a, ids_b))
+            sizes = [np.fromiter(map(len, ids), np.int64, len(fine)) for ids in (ids_a, ids_b)]
+            a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in zip((ids_a, ids_b), sizes, strict=True))
             end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
             stops = end_a[np.cumsum(sizes[0]) - 1]  # where units end
-            cuts, ends = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+            cuts = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+            both = cuts[1:] == cuts[:-1]
+            ends, cuts = cuts[1:][both], cuts[np.concatenate([[True], ~both])]
             # between two cuts lies one overlap of one A token with one B token
             links = (b[np.searchsorted(end_b, cuts)] * self.size_a + a[np.searchsorted(end_a, cuts)]).astype(np.uint64)
             by_unit = [np.diff(np.searchsorted(x, stops, "right"), prepend=0) for x in (ends, cuts)]
@@ -132,10 +153,12 @@ class Aligner:
         self.texts += texts
         self.n_bytes += sum(map(len, texts))
         self.numbers, self.links, self.first = np.concatenate([self.numbers, numbers]), np.concatenate([self.links, links]), np.concatenate([self.first, start])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def of(self, parts: list[str]) -> tuple[np.ndarray, str, np.ndarray]:
         """The four numbers of a text of these units, its groups' digest, and its links."""
         at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        np.add.at(self.uses, at, 1)
         numbers = self.numbers[at]
         if (numbers[:, 0] < 0).any():
             return np.zeros(4, np.int64), "", np.zeros(0, np.uint64)
