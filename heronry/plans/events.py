@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import exact_sum
 from ..operators import timelines
+from ..operators.intervals import interval_join
 from ..sources.tables import table
 
 _GAP = 12 * 3_600_000_000
@@ -40,7 +41,16 @@ def hourly_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.unix_micros("w.start").alias("from_at"), "event_type", "n_events", "value")
 
 
-QUERIES = {f.__name__: f for f in (purchase_views, user_sessions, hourly_types)}
+def purchase_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase that clicks of the same user precede within a day, with their number and value: intervals that overlap."""
+    events = _events(spark, sf_dir)
+    clicks = events.where("event_type = 'click'").select("user_id", "at", "value")
+    bought = events.where("event_type = 'purchase'").select("user_id", "event_id", F.col("at").alias("bought_at"))
+    met = interval_join(clicks, bought, "user_id", F.col("at"), F.col("bought_at") - timelines.DAY, F.col("bought_at"), timelines.DAY)
+    return met.groupBy("event_id", "user_id").agg(F.count("*").alias("n_clicks"), exact_sum(F.col("value"), 2).alias("value"))
+
+
+QUERIES = {f.__name__: f for f in (purchase_views, user_sessions, hourly_types, purchase_clicks)}
 _VALUE = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value"
 ORACLE_SQL = {
     "purchase_views": """
@@ -59,4 +69,9 @@ ORACLE_SQL = {
         SELECT from_at, event_type, count(*) AS n_events, {_VALUE}
         FROM (SELECT event_type, value, 7200000000 * (epoch_us(ts) // 7200000000 - k) AS from_at FROM events, (SELECT unnest([0, 1, 2]) AS k))
         GROUP BY ALL""",
+    "purchase_clicks": f"""
+        SELECT p.event_id, p.user_id, count(*) AS n_clicks, {_VALUE.replace("value AS", "c.value AS")}
+        FROM events p JOIN events c ON p.user_id = c.user_id AND p.event_type = 'purchase' AND c.event_type = 'click'
+             AND c.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts
+        GROUP BY p.event_id, p.user_id""",
 }

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..streaming import windows
+from ..streaming import alerts, joins, windows
 from . import events, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (star, events, windows):
+for _module in (star, events, windows, alerts, joins):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

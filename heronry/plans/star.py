@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import exact_sum
+from ..operators.global_order import ranked
 from ..operators.ranking import top_k
 from ..sources.tables import table
 
@@ -79,7 +80,15 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (star_revenue, order_subtotals, top_parts, orders_without_lines, large_customers, pricing_summary)}
+def ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its place by price over the whole table, dearest first, and the price of all up to it."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    found = ranked(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], {"upto": price})
+    return found.select("o_orderkey", "row_number", F.col("upto").cast("decimal(28,2)").alias("upto"))
+
+
+QUERIES = {f.__name__: f for f in (star_revenue, order_subtotals, top_parts, orders_without_lines, large_customers, pricing_summary, ranked_orders)}
 _SUM = "CAST(sum(CAST({} AS DECIMAL(18,{s}))) AS DECIMAL(28,{s}))"
 _REVENUE = _SUM.format(_NET, s=4)
 ORACLE_SQL = {
@@ -107,4 +116,7 @@ ORACLE_SQL = {
         SELECT l_returnflag, l_linestatus, {_SUM.format("l_quantity", s=2)} AS sum_qty, {_SUM.format("l_extendedprice", s=2)} AS sum_price,
                {_REVENUE} AS sum_net, {_SUM.format(_CHARGE, s=6)} AS sum_charge, count(*) AS n_lines
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-01' GROUP BY ALL""",
+    "ranked_orders": """
+        SELECT o_orderkey, row_number() OVER w AS row_number, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DECIMAL(28,2)) AS upto
+        FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 }
