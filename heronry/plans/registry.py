@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import alerts, joins, windows
-from . import events, star
+from . import events, star, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (star, events, windows, alerts, joins):
+for _module in (star, events, vectors, windows, alerts, joins):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -5,7 +5,7 @@ import pytest
 
 from heronry.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 def _cells(rows):
