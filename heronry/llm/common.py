@@ -51,6 +51,11 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(names: str | list[str]) -> str | list[str]:
+    """Column names as they must be written where a dot would mean a field."""
+    return "`" + names.replace("`", "``") + "`" if isinstance(names, str) else [quoted(n) for n in names]
+
+
 #: Ids that without_ids() broadcasts, at most; about 40 bytes each.
 MOST_IDS = 1_000_000
 
@@ -61,7 +66,7 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     are left to Spark, which shuffles both sides. Rows with a null doc_id stay."""
     ids = written(ids.where("doc_id is not null").distinct(), "ids")
     few = ids.count() <= MOST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(quoted(docs.columns))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, drop_written, mixed, without_ids, written
+from .common import WordHashes, components, drop_written, mixed, quoted, without_ids, written
 
 #: Half keys a collection, minhashes a half key: 100 tables from 40 minhashes. A pair at similarity 0.75 meets in at least
 #: one table with probability 0.9995, at 0.8 with 0.9999.
@@ -383,6 +383,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     verdicts = written(verdicts, "verdicts")
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     once = without_ids(docs, verdicts.where("not kept").select("doc_id").unionByName(repeated))
-    again = docs.join(repeated.join(verdicts.where("kept"), "doc_id", "left_semi"), "doc_id", "left_semi").select(docs.columns)
-    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    again = docs.join(repeated.join(verdicts.where("kept"), "doc_id", "left_semi"), "doc_id", "left_semi").select(quoted(docs.columns))
+    again = again.groupBy("doc_id").agg(F.min_by(F.struct(*quoted(docs.columns)), F.coalesce("text", F.lit(""))).alias("row"))
     return once.unionByName(again.select("row.*"))

@@ -3,13 +3,15 @@
 From the regular expression of each rule a Boolean query over trigrams is derived: what every match must contain. The
 index holds a posting (trigram, document) for each trigram that some rule asks for. Postings of a document are brought
 together and the queries evaluated on them; what passes is verified with the expression itself on the whole text. A rule
-without mandatory trigrams (hex) scans every text.
+without mandatory trigrams (hex) scans every text. Texts stay where they are: up to MOST_CANDIDATES the candidates are
+broadcast; of more, the texts that have what a rule asks for go to the candidates, and all others are scanned in place.
 
 What is defined for odd input:
 - A null text counts as empty. Repeated rows give a row each. Rows with a null id have no postings, so that all rules
   scan them; rows with the same id share their postings, which can only add candidates.
-- Positions count code points, and ends are exclusive. Whole texts are scanned.
-- Other columns are not read. An empty table gives an empty result.
+- Positions count code points, and ends are exclusive. Whole texts are scanned. Matches of one rule that begin at one place
+  can't tie; of different rules, the one that stands first in the list comes first.
+- Other columns are not read, whatever their names; redacted() passes them on. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, written
+
+
+#: Candidates that are broadcast, at most; about 100 bytes each.
+MOST_CANDIDATES = 500_000
 
 
 @dataclass(frozen=True)
@@ -104,20 +110,28 @@ def _holds(query: tuple, found: Column) -> Column:
     return out
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+def _queries(rules: tuple[Rule, ...]) -> dict[str, tuple]:
+    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    return {k: q for k, q in queries.items() if q != ANY}
+
+
+def _found(queries: dict[str, tuple]) -> Column:
+    """Those of the queries' trigrams that the column low has."""
+    trigrams = sorted(set().union(*map(_trigrams, queries.values())))
+    return F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
+
+
+def postings(docs: DataFrame, queries: dict[str, tuple]) -> DataFrame:
     """(trigram, doc_id): the index, for the trigrams that the rules ask for."""
     low = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
     # outer, as Spark puts a filter before an inner explode, in which all of it would be evaluated twice
-    return low.select(F.explode_outer(held).alias("trigram"), "doc_id").where("trigram is not null")
+    return low.select(F.explode_outer(_found(queries)).alias("trigram"), "doc_id").where("trigram is not null")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, rules array<string>): the rules whose query the document's postings fulfil."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    queries = {k: q for k, q in queries.items() if q != ANY}
-    trigrams = sorted(set().union(*map(_trigrams, queries.values())))
-    met = postings(docs, trigrams).groupBy("doc_id").agg(F.collect_set("trigram").alias("found"))  # a set is bounded by the rules
+    queries = _queries(rules)
+    met = postings(docs, queries).groupBy("doc_id").agg(F.collect_set("trigram").alias("found"))  # a set is bounded by the rules
     passed = F.array_compact(F.array(*(F.when(_holds(q, F.col("found")), F.lit(k)) for k, q in queries.items())))
     return met.select("doc_id", passed.alias("rules")).where(F.size("rules") > 0)
 
@@ -151,9 +165,19 @@ def _text(spans: Column, kinds: list[str]) -> Column:
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, text, row, base_spans, spans), with the whole input row as a struct."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*quoted(docs.columns)).alias("row"))
     passed = written(candidates(docs, rules), "candidates")
-    rows = docs.join(passed, "doc_id", "left")
+    if passed.count() <= MOST_CANDIDATES:
+        rows = docs.join(F.broadcast(passed), "doc_id", "left")
+    else:
+        queries = _queries(rules)
+        rows = docs.withColumn("low", F.lower("text")).withColumn("found", _found(queries)).drop("low")
+        wanted = F.lit(False)
+        for query in queries.values():
+            wanted = wanted | _holds(query, F.col("found"))
+        rows = rows.withColumn("wanted", wanted & F.col("doc_id").isNotNull()).drop("found")
+        there = rows.where("wanted").drop("wanted").join(passed, "doc_id", "left")
+        rows = rows.where("not wanted").drop("wanted").withColumn("rules", F.lit(None).cast("array<string>")).unionByName(there)
     empty = F.array().cast(_SPAN)
     each = []
     for kind, rule in enumerate(rules):
@@ -197,9 +221,9 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = MORE) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     text = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], part(s["at"], F.length("text").cast("long"))))
-    text = F.when(F.size("spans") > 0, text).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    rows = rows.select(*columns, (F.size("spans") > 0).alias("_heronry_found"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_heronry_found"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    rows = rows.select("row", F.when(F.size("spans") > 0, text).alias("new"))  # null where nothing is found
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    changed = {"text": F.coalesce("new", own["text"].cast("string"))}
+    if "n_chars" in own:
+        changed["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), own["n_chars"])
+    return rows.select(*(changed.get(c, own[c]).alias(c) for c in docs.columns))

@@ -10,7 +10,8 @@ as one seen in learning.
 
 The labels know toxic or not only. The grade of a toxic row is how strong the evidence for it is in rows that it isn't
 learned from: the labelled rows are dealt into two halves by their id, the log odds of each feature are taken from the other
-half, and the rows' sums of them are cut into thirds, grades 1 to 3. So a row's own label never makes its grade.
+half, and the rows' sums of them are cut into thirds, grades 1 to 3. Only which features are kept is decided on all labelled
+rows, the row's own label included.
 
 Limits of learning: at most MOST_LABELLED rows with a label, those with the lowest hash of their id; the number of features
 is bounded by these rows, and no feature is left out. Scoring covers all rows and whole texts.
@@ -35,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import written
+from .common import quoted, written
 
 MOST_LABELLED = 20_000
 STEMS = range(4, 8)
@@ -209,16 +211,19 @@ def score(docs: DataFrame, model: Model, new: tuple[str, str, str] = ("toxic_pro
         kept = _Kept(_known(model.features, model.ranks))
         for batch in batches:
             sums = np.zeros(batch.num_rows)
-            for i, t in enumerate(batch.column("text").cast(pa.binary())):
+            for i, t in enumerate(batch.column(at).cast(pa.binary())):
                 sums[i] = model.weights[_places(t, kept)].sum()
             above = model.above(sums)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], [*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] >= 0.5)], kinds.names)
 
-    kept_columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns).mapInArrow(scored, f"{kept_columns}, `{new[0]}` double, `{new[1]}` double, `{new[2]}` boolean")
+    # plain names meanwhile, as Spark looks the columns up by name there
+    at = columns.index("text")
+    plain = docs.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)))
+    kinds = StructType([*plain.schema, StructField("p", DoubleType()), StructField("severity", DoubleType()), StructField("toxic", BooleanType())])
+    return plain.mapInArrow(scored, kinds).toDF(*columns, *new)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that a model fitted on their labels doesn't find toxic, with all columns."""
     new = ("_heronry_p", "_heronry_severity", "_heronry_toxic")
-    return score(docs, fit(docs, labels), new).where(~F.col(new[2])).select(docs.columns)
+    return score(docs, fit(docs, labels), new).where(~F.col(new[2])).select(quoted(docs.columns))
