@@ -5,7 +5,9 @@ one value of a row, holds a whole record. The writer streams the chunks of its p
 member a record, and carries a digest along, which must come out as the header's; the reader streams an archive block by
 block and gives a row a chunk, with the length and the SHA-1 digest of the payload so far. The row of a record's last chunk
 so carries those of the whole payload. Payloads stay where the source has them: what refers to what is found from digests,
-and meets the pages in a broadcast of at most MOST_REVISITS rows; of more, chunk rows are shuffled, never records.
+and meets the pages in a broadcast of at most MOST_REVISITS rows; of more, it is written by partition of the source, and each task reads its own
+part. Should a partition not have the rows that it had before (a source that deals its rows anew each time), what is
+written doesn't count and chunk rows are shuffled to what they refer to, never records.
 
 Of records with equal payloads of at least LEAST_REVISITED bytes, that with the largest page_id is stored (response); the
 others refer to it (revisit). Equality is that of SHA-1 digest and length. A revisit is read back only if the response that
@@ -27,8 +29,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -60,21 +63,24 @@ def revisits(pages: DataFrame, least_revisited: int = LEAST_REVISITED) -> DataFr
     return large.join(stored, ["digest", "payload_bytes"]).where("page_id < refers_to").select(*_PAYLOAD, "refers_to").distinct()
 
 
-def chunked(pages: DataFrame, chunk: int = CHUNK, least_revisited: int = LEAST_REVISITED) -> DataFrame:
-    """(record, chunk_no, page_id, url, payload_bytes, digest, refers_to, data): the rows of a record follow each other in
-    their partition. Revisits, which have refers_to, are one row without data."""
-    again = written(revisits(pages, least_revisited), "revisits")
-    few = again.count() <= MOST_REVISITS
-    rows = _rows(pages).withColumn("record", F.monotonically_increasing_id())
-    if few:
-        rows = rows.join(F.broadcast(again), _PAYLOAD, "left")
-    stored = F.col("refers_to").isNull() if few else F.lit(True)
+def _cut(rows: DataFrame, chunk: int, stored: Column) -> DataFrame:
+    """Rows with a payload as one row a chunk; where not `stored`, one row without data."""
     last = F.when(stored, F.floor(F.greatest(F.octet_length("payload") - 1, F.lit(0)) / chunk)).otherwise(0).cast("int")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
     data = F.when(stored, F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
-    rows = rows.withColumn("data", data).drop("payload")
-    if not few:
-        rows = rows.join(again, _PAYLOAD, "left").where("refers_to is null or chunk_no = 0")
+    return rows.withColumn("data", data).drop("payload")
+
+
+def chunked(pages: DataFrame, chunk: int = CHUNK, least_revisited: int = LEAST_REVISITED, again: DataFrame | None = None) -> DataFrame:
+    """(record, chunk_no, page_id, url, payload_bytes, digest, refers_to, data): the rows of a record follow each other in
+    their partition. Revisits, which have refers_to, are one row without data; `again` is their table, if there is one."""
+    again = written(revisits(pages, least_revisited), "revisits") if again is None else again
+    rows = _rows(pages).withColumn("record", F.monotonically_increasing_id())
+    if again.count() <= MOST_REVISITS:
+        rows = rows.join(F.broadcast(again), _PAYLOAD, "left")
+        rows = _cut(rows, chunk, F.col("refers_to").isNull())
+    else:
+        rows = _cut(rows, chunk, F.lit(True)).join(again, _PAYLOAD, "left").where("refers_to is null or chunk_no = 0")
         rows = rows.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b"")))
         rows = rows.repartition("record").sortWithinPartitions("record", "chunk_no")
     return rows.select("record", "chunk_no", "page_id", "url", "payload_bytes", "digest", "refers_to", "data")
@@ -125,30 +131,62 @@ class Packer:
             self.row = None
 
 
+def _moved(fs: pa.fs.FileSystem, old: str, new: str) -> None:
+    """Renames a file; one of that name, which an attempt that was lost has left, has the same records and goes."""
+    if fs.get_file_info(new).type != pa.fs.FileType.NotFound:
+        fs.delete_file(new)
+    fs.move(old, new)
+
+
+def _own_revisits(parts: str, part: int) -> dict[tuple, int]:
+    """What the revisits of one partition of the source refer to, by page, digest and length."""
+    fs, path = _place(f"{parts}/part={part}")
+    if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
+        return {}
+    rows = pa.dataset.dataset(path, filesystem=fs, format="parquet").to_table().to_pylist()
+    return {(r["page_id"], r["digest"], r["payload_bytes"]): r["refers_to"] for r in rows}
+
+
 def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, most_archive: int = MOST_ARCHIVE) -> str:
     """Writes the pages as archives into a folder (a new one in the shared folder unless given), and returns it.
 
-    An archive is written under a name of its attempt and renamed once it is whole, so a lost executor leaves none half.
+    An archive is written under a name of its attempt and renamed once it is whole, so a lost executor leaves none half,
+    and the attempt that follows replaces those that it left whole.
     """
     spark = pages.sparkSession
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder or new_path(spark, "warc"))
-    # tasks write past Spark: they must take a path without scheme for the same file system as Spark does
-    folder = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+
+    def qualified(to: str) -> str:
+        # tasks read and write past Spark: they must take a path without scheme for the same file system as Spark does
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+
+    folder = qualified(folder or new_path(spark, "warc"))
     fs, path = _place(folder)
     fs.create_dir(path)
+    parts = None
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, path = _place(folder)
-        out, packer, number = None, Packer(), 0
+        out, packer, number, own, n_again, skip = None, Packer(), 0, None, 0, False
 
         def closed() -> None:
             out.close()
-            fs.move(f"{path}/_{task.taskAttemptId()}-{number}", f"{path}/part-{task.partitionId():06d}-{number:04d}.warc.gz")
+            _moved(fs, f"{path}/_{task.taskAttemptId()}-{number}", f"{path}/part-{task.partitionId():06d}-{number:04d}.warc.gz")
 
         for batch in batches:
             for at in range(batch.num_rows):  # row by row, as a batch of large chunks isn't wanted twice
                 row = batch.slice(at, 1).to_pylist()[0]
+                if parts:
+                    own = _own_revisits(parts, row["part"]) if own is None else own
+                    if row["chunk_no"] == 0:
+                        row["refers_to"] = own.get((row["page_id"], row["digest"], row["payload_bytes"]))
+                        skip = row["refers_to"] is not None
+                        n_again += skip
+                    elif skip:
+                        continue
+                    if skip:
+                        row["data"] = b""
                 if row["chunk_no"] == 0 and out and out.tell() > most_archive:
                     packer.end(out)
                     closed()
@@ -158,9 +196,23 @@ def write(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK, most_
         if out:
             packer.end(out)
             closed()
-        yield pa.RecordBatch.from_arrays([pa.array([number + bool(out)], pa.int64())], ["archives"])
-
-    chunked(pages, chunk).mapInArrow(stored, "archives long").agg(F.sum("archives")).collect()
+        yield pa.RecordBatch.from_arrays([pa.array([number + bool(out)], pa.int64()), pa.array([n_again], pa.int64())], ["archives", "again"])
+
+    def run(rows: DataFrame) -> int:
+        return rows.mapInArrow(stored, "archives long, again long").agg(F.sum("again")).first()[0] or 0
+
+    again = written(revisits(pages), "revisits")
+    if again.count() <= MOST_REVISITS:
+        run(chunked(pages, chunk, again=again))
+        return folder
+    parts = qualified(new_path(spark, "revisits-by-part"))
+    here = _rows(pages).where(F.col("payload_bytes") >= LEAST_REVISITED).select(*_PAYLOAD, F.spark_partition_id().alias("part"))
+    located = written(here.join(again, _PAYLOAD).select("part", *_PAYLOAD, "refers_to"), "located")
+    located.distinct().repartition("part").write.partitionBy("part").parquet(parts)
+    if run(_cut(_rows(pages).withColumns({"record": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), chunk, F.lit(True))) != located.count():
+        fs.delete_dir_contents(path)
+        parts = None
+        run(chunked(pages, chunk, again=again))
     return folder
 
 

@@ -25,7 +25,7 @@ def _pages(spark):
 
 @pytest.mark.parametrize("most_revisits", [warc.MOST_REVISITS, 0])
 def test_round_trip(spark, monkeypatch, most_revisits):
-    monkeypatch.setattr(warc, "MOST_REVISITS", most_revisits)  # 0: chunk rows meet the revisits in a shuffle
+    monkeypatch.setattr(warc, "MOST_REVISITS", most_revisits)  # 0: each task reads its own part of the revisits
     monkeypatch.setattr(warc.write, "__defaults__", (None, 700, 2000))
     rows, df = _pages(spark)
     largest = {}
@@ -94,3 +94,53 @@ def test_no_step_holds_a_record():
 
 def test_no_rows(spark):
     assert warc.archived(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_many_revisits_move_no_payload(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "MOST_REVISITS", 0)
+    rows, df = _pages(spark)
+    df.repartition(3).write.parquet(f"{tmp_path}/pages")
+    df, asked = spark.read.parquet(f"{tmp_path}/pages"), []
+    cut = warc._cut
+
+    def seen(*args):
+        asked.append(cut(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(warc, "_cut", seen)
+    monkeypatch.setattr(warc, "chunked", None)  # the shuffle isn't needed
+    assert warc.archived(df).where("record_type = 'revisit'").count() == 3
+    assert len(asked) == 1 and "Exchange" not in asked[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_source_that_deals_its_rows_anew(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_REVISITS", 0)
+    rows, df = _pages(spark)
+    monkeypatch.setattr(warc, "_own_revisits", lambda parts, part: {})  # as if no row were where it was
+    got = sorted(map(tuple, warc.archived(df).collect()), key=str)
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, warc.archived(df).collect()), key=str) and len(got) == len(rows)
+
+
+def test_an_attempt_replaces_what_a_lost_one_left(tmp_path):
+    fs, path = warc._place(f"file://{tmp_path}")
+    for name, data in (("_1-0", b"old"), ("_2-0", b"new")):
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            out.write(data)
+        warc._moved(fs, f"{path}/{name}", f"{path}/part-000000-0000.warc.gz")
+    assert [(f.name, f.read_bytes()) for f in tmp_path.iterdir()] == [("part-000000-0000.warc.gz", b"new")]
+
+
+def test_revisits_equal_sql(spark, tmp_path):
+    """The tables given have no equal pages, so the query's SQL is held against pages that have."""
+    import duckdb
+
+    from heronry.llm.oracles import OP9
+
+    _, df = _pages(spark)
+    df.where("page_id is not null").dropDuplicates(["page_id"]).select("page_id", "url", "html").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+        wanted = db.sql(OP9).fetchall()
+    assert any(r[3] == "revisit" for r in wanted)
+    assert sorted(map(tuple, warc.archived(spark.read.parquet(f"{tmp_path}/pages")).collect())) == sorted(wanted)
