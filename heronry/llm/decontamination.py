@@ -77,11 +77,12 @@ def _marked(text: Column) -> Column:
     opening = F.regexp_replace(named, rf"{_OPENING}(?=(?i:{of(OPENERS)}|{of(NUMBERS)})(?!{letters}))", "")
     runs = F.regexp_replace(opening, rf"([{_NAME}{_OPENING}]\p{{L}}++){gap}{_NAME}(?=\p{{L}})", "$1" + _JOIN)
     runs = F.regexp_replace(runs, rf"({_JOIN}\p{{L}}++){gap}{_NAME}(?=\p{{L}})", "$1" + _JOIN)  # the second gap of three words, the fourth of five
-    points = F.regexp_replace(runs, r"(?<=\p{N})[.,](?=\p{N})", _POINT)
+    points = F.regexp_replace(runs, r"[.,](?<=\p{N}[.,])(?=\p{N})", _POINT)
     bare = F.lower(F.regexp_replace(points, rf"[^\p{{L}}\p{{N}}{_NAME}{_OPENING}{_JOIN}{_POINT}]+", " "))
-    words = rf"(?<![^ ])(?=[befhmnst])(?:{of(NUMBERS)})"
-    spelled = F.regexp_replace(bare, rf"({words}) (?=(?:{of(NUMBERS)}|one)(?![^ ]))", "$1" + _JOIN)
-    spelled = F.regexp_replace(spelled, rf"{words}(?![^ {_JOIN}])", _NUMBER + "$0")
+    follows = rf"(?=(?:{of(NUMBERS)}|one)(?![^ ]))"
+    spelled = F.regexp_replace(F.concat(F.lit(" "), bare), rf"( (?=[befhmnst])(?:{of(NUMBERS)})) {follows}", "$1" + _JOIN)
+    spelled = F.regexp_replace(spelled, rf"({_JOIN}(?:{of(NUMBERS)})) {follows}", "$1" + _JOIN)  # as above
+    spelled = F.regexp_replace(spelled, rf" (?=[befhmnst])(?=(?:{of(NUMBERS)})(?![^ {_JOIN}]))", " " + _NUMBER)
     numbered = F.regexp_replace(spelled, rf"\p{{N}}(?<![\p{{L}}\p{{N}}{_NAME}{_OPENING}{_JOIN}{_POINT}]\p{{N}})", _NUMBER + "$0")
     with_unit = F.regexp_replace(numbered, rf"({_NUMBER}[^ ]++ )(?=(?:{of(UNITS)})(?!{letters}))", "$1" + _UNIT)
     return F.trim(F.when(F.contains(numbered, F.lit(_NUMBER)), with_unit).otherwise(numbered))
