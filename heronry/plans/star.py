@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.money import exact_sum
 from ..operators.global_order import ranked
+from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import top_k
+from ..operators.skewed_join import skewed_join
 from ..sources.tables import table
 
 # products of decimals are exact; those of doubles round differently in different engines
@@ -88,7 +90,20 @@ def ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "row_number", F.col("upto").cast("decimal(28,2)").alias("upto"))
 
 
-QUERIES = {f.__name__: f for f in (star_revenue, order_subtotals, top_parts, orders_without_lines, large_customers, pricing_summary, ranked_orders)}
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices that a quarter, half, seven eighths and all of the lines of each return flag don't pass."""
+    lines = table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")
+    return exact_quantiles(lines, "l_returnflag", "l_extendedprice", [0.25, 0.5, 0.875, 1.0])
+
+
+def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and quantity by the supplier's nation; suppliers with very many lines are dealt over several groups."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").withColumnRenamed("l_suppkey", "s_suppkey")
+    met = skewed_join(lines, table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), "s_suppkey", most=500)
+    return met.groupBy("s_nationkey").agg(F.count("*").alias("n_lines"), exact_sum(F.col("l_quantity"), 2).alias("quantity"))
+
+
+QUERIES = {f.__name__: f for f in (star_revenue, order_subtotals, top_parts, orders_without_lines, large_customers, pricing_summary, ranked_orders, price_quantiles, nation_lines)}
 _SUM = "CAST(sum(CAST({} AS DECIMAL(18,{s}))) AS DECIMAL(28,{s}))"
 _REVENUE = _SUM.format(_NET, s=4)
 ORACLE_SQL = {
@@ -119,4 +134,11 @@ ORACLE_SQL = {
     "ranked_orders": """
         SELECT o_orderkey, row_number() OVER w AS row_number, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS DECIMAL(28,2)) AS upto
         FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "price_quantiles": """
+        SELECT l_returnflag, share, n, quantile FROM (
+            SELECT l_returnflag, count(*) AS n, unnest([0.25::DOUBLE, 0.5, 0.875, 1.0]) AS share, unnest(quantile_disc(l_extendedprice, [0.25, 0.5, 0.875, 1.0])) AS quantile
+            FROM lineitem GROUP BY l_returnflag)""",
+    "nation_lines": f"""
+        SELECT s_nationkey, count(*) AS n_lines, {_SUM.format("l_quantity", s=2)} AS quantity
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey""",
 }
