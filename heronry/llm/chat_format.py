@@ -13,7 +13,8 @@ What is defined for odd input:
 - A null text is an empty line. Lines of a conversation are taken in order of line_no, then of their text; a null line_no
   comes first. Rows with a null conv_id are one conversation. Repeated rows are lines of their own.
 - conv_id may be of any type that Spark gives to Arrow. In formatted() turns are numbered up to 2^31; a turn may have as many
-  lines as a text can. A block of 256 turns is held by one task; rows with null or repeated turn numbers share a block.
+  lines as a text can. A task holds a block of 256 turns, or PIECE lines of it if it has more; so rows with null or repeated
+  turn numbers, which share a block, are no exception.
 - For learning, rows with roles other than those known are left out. Without any, all counts are those of smoothing.
 - Other columns are not read. An empty table gives an empty result.
 """
@@ -41,6 +42,8 @@ ENDS = "?:.!,"
 N_CODES = (len(ROLES) + 1) * (len(LENGTHS) + 1) * (len(ENDS) + 1)
 #: Lines in a block, where line_no counts lines.
 BLOCK = 4096
+#: Lines of a block that are held together; pieces of a block that are told apart.
+PIECE, MOST_PIECES = 8192, 1 << 20
 SMOOTHING = 0.5
 
 
@@ -82,7 +85,9 @@ class Model:
 def _ordered(lines: DataFrame, block: int) -> DataFrame:
     rows = lines.select("conv_id", F.coalesce(F.col("line_no").cast("long"), F.lit(-1)).alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.floor(F.col("line_no") / block).cast("long"))
-    return rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "line_no", "text")
+    # the lines of a block are counted by Spark, which sorts on disk if it must; equal lines may change places
+    place = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("line_no", "text"))
+    return rows.withColumn("block", F.col("block") * MOST_PIECES + F.floor((place - 1) / PIECE))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:

@@ -89,3 +89,24 @@ def test_odd_input(spark):
     found = formatted(spark.createDataFrame(rows, TURNS)).collect()
     assert {r["conv_id"] for r in found} == {None, 1, 2, 3} and sum(r["n_lines"] for r in found) == len(rows)
     assert formatted(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_lines_with_one_number_are_held_in_pieces(spark, monkeypatch):
+    """Turns without a number share a block; it is cut by counted lines, and the roles found are those of one piece."""
+    from heronry.llm import chat_format
+
+    rows = spark.createDataFrame([(c % 2, None if c % 2 else t, r, x) for c, t, r, x in _conversations(30)], TURNS)
+    lines = transcript_lines(rows)
+    model = fit(lines, 256 * TURN)
+    ordered = chat_format._ordered(lines, 256 * TURN)
+    assert ordered.groupBy("conv_id", "block").count().count() == 2
+    whole = parse(lines, model, 256 * TURN)
+    want = sorted((r["conv_id"], r["line_no"], r["role"], r["text"]) for r in whole.where("not continues").collect())
+    n = whole.agg(F.sum("n_lines")).first()[0]
+    monkeypatch.setattr(chat_format, "PIECE", 7)
+    ordered = chat_format._ordered(lines, 256 * TURN)
+    assert ordered.groupBy("conv_id", "block").count().agg(F.max("count")).first()[0] == 7
+    parts = parse(lines, model, 256 * TURN)
+    assert parts.agg(F.sum("n_lines")).first()[0] == n == lines.count()
+    got = sorted((r["conv_id"], r["line_no"], r["role"]) for r in parts.where("not continues").collect())
+    assert got == sorted(w[:3] for w in want)
