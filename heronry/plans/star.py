@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from ..operators.global_order import ranked
 from ..operators.quantiles import exact_quantiles
 from ..operators.ranking import top_k
 from ..operators.skewed_join import skewed_join
+from ..operators.upkeep import KeptTotals
 from ..sources.tables import table
+from ..streaming.windows import shared_folder
 
 # products of decimals are exact; those of doubles round differently in different engines
 _NET = "cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(4,2)))"
@@ -103,7 +107,19 @@ def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("s_nationkey").agg(F.count("*").alias("n_lines"), exact_sum(F.col("l_quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (star_revenue, order_subtotals, top_parts, orders_without_lines, large_customers, pricing_summary, ranked_orders, price_quantiles, nation_lines)}
+def kept_customer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their price by customer, kept up over three batches: all orders with the price of open ones still missing,
+    then the prices of those, then half of all orders once more, which changes nothing."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    price, open_ = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderstatus") == "O"
+    kept = KeptTotals(spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}")
+    parts = [(orders, F.when(~open_, price)), (orders.where(open_), price), (orders.where(price > 250_000), price)]
+    for n, (batch, value) in enumerate(parts):
+        kept.apply(n, batch, "o_orderkey", "o_custkey", value.cast("decimal(18,2)"), F.col("o_orderkey"))
+    return kept.totals().select(F.col("group").alias("o_custkey"), "n", F.col("total").cast("decimal(28,2)").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (star_revenue, order_subtotals, top_parts, orders_without_lines, large_customers, pricing_summary, ranked_orders, price_quantiles, nation_lines, kept_customer_totals)}
 _SUM = "CAST(sum(CAST({} AS DECIMAL(18,{s}))) AS DECIMAL(28,{s}))"
 _REVENUE = _SUM.format(_NET, s=4)
 ORACLE_SQL = {
@@ -141,4 +157,6 @@ ORACLE_SQL = {
     "nation_lines": f"""
         SELECT s_nationkey, count(*) AS n_lines, {_SUM.format("l_quantity", s=2)} AS quantity
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey""",
+    "kept_customer_totals": f"""
+        SELECT o_custkey, count(*) AS n, {_SUM.format("o_totalprice", s=2)} AS total FROM orders GROUP BY o_custkey""",
 }
