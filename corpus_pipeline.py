@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of documents; the last returns the placed pieces of the documents' ids.
-SQL can't express the stages, so there is no ORACLE_SQL; tests hold run() against a version without Spark.
+SQL can't express the stages, so there is no ORACLE_SQL; tests hold run() against documents planted for each stage, and the
+packed ids against the tokenizer's.
 """
 
 from __future__ import annotations
