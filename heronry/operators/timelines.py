@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 DAY = 86_400_000_000
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they must be written where a dot would mean a field."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def micros(ts: Column) -> Column:
     """A timestamp as microseconds since 1970 (of the session's time zone for one without zone)."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -28,7 +33,7 @@ def as_of(df: DataFrame, key: str, at: str, tie: str, value: Column, bucket: int
     every = every.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.last("_last", ignorenulls=True).over(before).alias("_earlier"))
     within = Window.partitionBy(key, "_bucket").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(every, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
-    return rows.withColumn("as_of", F.coalesce(F.last("_value", ignorenulls=True).over(within), "_earlier")).select(*df.columns, "as_of")
+    return rows.withColumn("as_of", F.coalesce(F.last("_value", ignorenulls=True).over(within), "_earlier")).select(*quoted(df.columns), "as_of")
 
 
 def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int, bucket: int = DAY) -> DataFrame:
@@ -46,4 +51,4 @@ def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int, bucket: int =
     starts = starts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), (F.sum("_starts").over(over_key) - F.col("_starts")).alias("_earlier"))
     rows = rows.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b"))).drop("_key", "_b")
     numbered = F.col("_earlier") + F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("session", numbered).select(*df.columns, "session")
+    return rows.withColumn("session", numbered).select(*quoted(df.columns), "session")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import exact_sum
 from ..operators import timelines
 from ..operators.intervals import interval_join
+from ..operators.sequences import sequences
 from ..sources.tables import table
 
 _GAP = 12 * 3_600_000_000
@@ -50,7 +51,16 @@ def purchase_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("event_id", "user_id").agg(F.count("*").alias("n_clicks"), exact_sum(F.col("value"), 2).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (purchase_views, user_sessions, hourly_types, purchase_clicks)}
+def led_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases that a view and then a click of the same user lead to within two days, without an error in between, with the
+    latest such view."""
+    kind = F.col("event_type")
+    steps = [kind == "view", kind == "click", kind == "purchase"]
+    found = sequences(_events(spark, sf_dir), "user_id", "at", "event_id", steps, 2 * timelines.DAY, kind == "error")
+    return found.select("event_id", "user_id", F.col("began_tie").alias("view_id"))
+
+
+QUERIES = {f.__name__: f for f in (purchase_views, user_sessions, hourly_types, purchase_clicks, led_purchases)}
 _VALUE = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value"
 ORACLE_SQL = {
     "purchase_views": """
@@ -74,4 +84,11 @@ ORACLE_SQL = {
         FROM events p JOIN events c ON p.user_id = c.user_id AND p.event_type = 'purchase' AND c.event_type = 'click'
              AND c.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts
         GROUP BY p.event_id, p.user_id""",
+    "led_purchases": """
+        SELECT p.event_id, p.user_id, max(v.event_id) AS view_id
+        FROM events p JOIN events c ON c.user_id = p.user_id AND c.event_type = 'click' AND c.ts < p.ts
+             JOIN events v ON v.user_id = p.user_id AND v.event_type = 'view' AND v.ts < c.ts AND v.ts >= p.ts - INTERVAL 2 DAY
+        WHERE p.event_type = 'purchase' AND NOT EXISTS (
+            SELECT 1 FROM events e WHERE e.user_id = p.user_id AND e.event_type = 'error' AND e.ts > v.ts AND e.ts < p.ts)
+        GROUP BY p.event_id, p.user_id""",
 }
