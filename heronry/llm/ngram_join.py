@@ -38,15 +38,19 @@ from .common import WordHashes, components, drop_written, mixed, written
 WORDS, PERCENT = 4, 85
 #: Coordinates of a point; children of a box.
 GROUPS, FAN = 64, 16
+#: Members in a group of the finer points, on average at most, that bound the pairs which the tree leaves.
+IN_GROUP = 4
 #: Documents of the sample that shows which members are frequent, how many of them have such a member at least, and how many are kept.
-SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 10, 100_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 #: Points of one tree in one group; those of larger trees are dealt by size, then over more groups.
 BLOCK = 2048
+#: Documents whose ids are broadcast to pick their texts, at most; about 60 bytes each.
+MOST_IDS = 500_000
 #: Pairs of boxes or points whose bounds are summed at once.
 TOGETHER = 8192
 
 _MULTIPLIERS = [np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03, 0x9FB21C651E98DF25)]
-SIGNATURES = "doc_id long, n_shingles long, digest binary, prefix array<long>, unit int, counts binary"
+SIGNATURES = "doc_id long, n_shingles long, digest binary, prefix array<long>, unit int, counts binary, fine binary"
 
 
 def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -64,7 +68,8 @@ def prefix(members: np.ndarray, frequent: np.ndarray, marks: np.ndarray) -> np.n
     n = len(members) - -(-PERCENT * len(members) // 100) + 1
     last = marks[(members >> np.uint64(44)).astype(np.int64)]
     if last.any():
-        last[last] = np.isin(members[last], frequent)
+        asked = members[last]
+        last[last] = frequent[np.minimum(np.searchsorted(frequent, asked), len(frequent) - 1)] == asked
         return np.concatenate([members[~last], members[last]])[:n]
     return members[:n]
 
@@ -76,6 +81,16 @@ def point(members: np.ndarray) -> tuple[int, np.ndarray]:
     return unit, (-(-counts // unit)).astype(np.uint8)
 
 
+def fine_point(members: np.ndarray) -> bytes:
+    """The members in each of so many groups (a power of two of GROUPS) that one holds IN_GROUP on average at most; empty if
+    a count passes a byte."""
+    groups = GROUPS
+    while groups * IN_GROUP < len(members):
+        groups *= 2
+    counts = np.bincount((members % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """The columns of SIGNATURES for each row."""
     marks = np.zeros(1 << 20, bool)
@@ -89,34 +104,46 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 members = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"", hashes)
                 if len(members):
                     unit, counts = point(members)
-                    rows.append((doc_id, len(members), xxhash.xxh128_digest(members.tobytes()), prefix(members, frequent, marks).view(np.int64), unit, counts.tobytes()))
+                    rows.append((doc_id, len(members), xxhash.xxh128_digest(members.tobytes()), prefix(members, frequent, marks).view(np.int64), unit, counts.tobytes(), fine_point(members)))
                 else:
-                    rows.append((doc_id, 0, b"", np.array([], np.int64), 1, b""))
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_shingles", "digest", "prefix", "unit", "counts"])
+                    rows.append((doc_id, 0, b"", np.array([], np.int64), 1, b"", b""))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_shingles", "digest", "prefix", "unit", "counts", "fine"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(signed, SIGNATURES)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(digest, members array<long>) of each row of (doc_id, text)."""
+    """(doc_id, digest, members array<long>) of each row of (doc_id, text)."""
 
     def sets(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", hashes) for t in batch[0]]
+            found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", hashes) for t in batch[1]]
             digests = [xxhash.xxh128_digest(h.tobytes()) for h in found]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["digest", "members"])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(digests, pa.binary()), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["doc_id", "digest", "members"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(sets, "doc_id long, digest binary, members array<long>")
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(sets, "digest binary, members array<long>")
+
+def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, members) of the classes in `pairs`, as a table. Up to MOST_IDS documents are picked out where they stand."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = written(classes.select("cls", "doc_id", "digest").join(wanted, "cls", "left_semi"), "wanted")
+    ids = wanted.select("doc_id").distinct()
+    texts = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids) if wanted.count() <= MOST_IDS else ids, "doc_id", "left_semi")
+    sets = shingle_sets(texts).join(F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted, ["doc_id", "digest"])  # an id may have other texts as well
+    sets = written(sets.select("cls", "members"), "sets")
+    drop_written(wanted)
+    return sets
 
 
 def frequent_members(docs: DataFrame) -> np.ndarray:
-    """Members that many different sets of a sample of about SAMPLE documents have, the most frequent first cut to
-    MOST_FREQUENT; sorted."""
+    """Members that FREQUENT documents or more of a sample of about SAMPLE have, the MOST_FREQUENT most frequent at most;
+    sorted."""
     every = max(1, docs.count() // SAMPLE)
-    some = shingle_sets(docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0))).distinct()
+    some = shingle_sets(docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)))
     counts = some.select(F.explode("members").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     keys = counts.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toArrow().column("key").to_numpy()
     return np.sort(keys.astype(np.int64).view(np.uint64))
@@ -124,10 +151,14 @@ def frequent_members(docs: DataFrame) -> np.ndarray:
 
 def forest(classes: DataFrame) -> DataFrame:
     """(key, met, cls, n, unit, counts, central): the points of each tree that has several; met: the number of its points,
-    central: how many others the class meets over all trees."""
-    keys = classes.select("cls", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
-    points = keys.join(shared, "key").join(classes.select("cls", F.col("n_shingles").alias("n"), "unit", "counts"), "cls")
+    central: how many others the class meets over all trees.
+
+    Of two linked sets the smaller one, of n members, has 2 * 0.85 / 1.85 * n in common with the other at least, so the member
+    that they share stands even in its first n - ceil(1.7 / 1.85 * n) + 1: trees where no set is so early are left out."""
+    keys = classes.select("cls", "n_shingles", F.posexplode("prefix").alias("pos", "key"))
+    early = F.col("pos") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * (2 * PERCENT) / (100 + PERCENT) - 1e-9)
+    shared = keys.groupBy("key").agg(F.count("*").alias("met"), F.max(early).alias("early")).where("met > 1 and early").select("key", "met")
+    points = keys.select("cls", "key").join(shared, "key").join(classes.select("cls", F.col("n_shingles").alias("n"), "unit", "counts"), "cls")
     return points.withColumn("central", F.sum("met").over(Window.partitionBy("cls")))  # a class has as many rows as its prefix
 
 
@@ -143,6 +174,8 @@ class Points:
         self.cls, self.n = rows.column("cls").to_numpy(), rows.column("n").to_numpy()
         counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
         self.counts = counts * rows.column("unit").to_numpy().astype(np.int32)[:, None]
+        self.fine = rows.column("fine").to_pylist() if "fine" in rows.column_names else [b""] * rows.num_rows
+        self.groups = np.array([len(f) for f in self.fine], np.int64)
 
     def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """At most how many members i and j have in common."""
@@ -151,13 +184,42 @@ class Points:
             out.append(np.minimum(self.counts[i[at : at + TOGETHER]], self.counts[j[at : at + TOGETHER]]).sum(axis=1))
         return np.minimum(np.concatenate(out), np.minimum(self.n[i], self.n[j]))
 
+    def fine_overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same by the finer points, at the smaller number of their groups; no bound where one is missing or has GROUPS."""
+        out = np.full(len(i), np.iinfo(np.int64).max)
+        groups = np.minimum(self.groups[i], self.groups[j])
+        for g in np.unique(groups[groups > GROUPS]):
+            at = np.flatnonzero(groups == g)
+            own, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            # groups are by remainder, so they fold
+            folded = np.stack([np.frombuffer(self.fine[p], np.uint8).reshape(-1, g).sum(axis=0, dtype=np.int32) for p in own])
+            x, y, step = place[: len(at)], place[len(at) :], max(1, TOGETHER * GROUPS // int(g))
+            for k in range(0, len(at), step):
+                out[at[k : k + step]] = np.minimum(folded[x[k : k + step]], folded[y[k : k + step]]).sum(axis=1)
+        return out
+
+    def fits_size(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sized = 100 * np.minimum(self.n[i], self.n[j]) >= PERCENT * np.maximum(self.n[i], self.n[j])
+        return i[sized], j[sized]
+
+    def once(self, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Each pair of classes once, whatever trees they meet in."""
+        i, j = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        a, b = np.minimum(self.cls[i], self.cls[j]), np.maximum(self.cls[i], self.cls[j])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        order = order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(order) else order
+        return i[order], j[order]
+
     def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Those pairs that may be linked, and how alike they are at most, in thousandths."""
-        sized = 100 * np.minimum(self.n[i], self.n[j]) >= PERCENT * np.maximum(self.n[i], self.n[j])
-        i, j = i[sized], j[sized]
+        i, j = self.fits_size(i, j)
         overlap = self.overlap(i, j)
         kept = fits(overlap, self.n[i], self.n[j])
         i, j, overlap = i[kept], j[kept], overlap[kept]
+        overlap = np.minimum(overlap, self.fine_overlap(i, j))
+        kept = fits(overlap, self.n[i], self.n[j])
+        i, j, overlap = i[kept], j[kept], overlap[kept]
         return i, j, 1000 * overlap // (self.n[i] + self.n[j] - overlap)
 
 
@@ -264,17 +326,18 @@ def _dealt(points: DataFrame) -> DataFrame:
     return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def tree_pairs(points: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+def tree_pairs(points: DataFrame, labels: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
     """Candidates: pairs of points of one tree, in different components so far, that the join of the tree with itself leaves.
     With `best`, of each point the most alike, among those that are compared together. Trees whose points are all in one
     component drop out first."""
 
     def pairs(batches):
-        for rows, begins in _whole_groups(batches, ["key", "zone", "low", "high"]):
+        for rows, begins in _whole_groups(batches, ["first", "zone", "low", "high"]):
             own = Points(rows)
-            component, step, zone, side, low, high = (rows.column(c).to_numpy() for c in ("component", "step", "zone", "own", "low", "high"))
+            component, step, zone, side, low, high, key = (rows.column(c).to_numpy() for c in ("component", "step", "zone", "own", "low", "high", "key"))
+            trees = np.union1d(begins, 1 + np.flatnonzero(key[1:] != key[:-1]))
             held, n_held = [], 0
-            for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            for a, b in zip(trees[:-1].tolist(), trees[1:].tolist(), strict=True):
                 if b - a <= FAN:  # one leaf
                     i, j = np.triu_indices(b - a, 1)
                     found = [(a + i, a + j)]
@@ -286,13 +349,16 @@ def tree_pairs(points: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
                         kept &= side[i] != side[j]
                     if zone[a] >= 0:  # visitors meet each other in their own zone
                         kept &= (step[i] == zone[a]) | (step[j] == zone[a])
-                    held.append((i[kept], j[kept]))
+                    held.append(own.fits_size(i[kept], j[kept]))
                     n_held += len(held[-1][0])
-                    if n_held > 8 * TOGETHER:
-                        yield candidates(own, held)
-                        held, n_held = [], 0
+                    if n_held > 64 * TOGETHER:
+                        held = [own.once(held)]
+                        n_held = len(held[0][0])
+                        if n_held > 32 * TOGETHER:
+                            yield candidates(own, held)
+                            held, n_held = [], 0
             if n_held:
-                yield candidates(own, held)
+                yield candidates(own, [own.once(held)])
 
     def candidates(own, held):
         i, j, alike = own.near(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
@@ -301,26 +367,35 @@ def tree_pairs(points: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
             a, b, alike = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([alike, alike])
             order = np.lexsort((b, -alike, a))
             order = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
-        else:
-            order = np.lexsort((b, a))  # a pair is in many trees
-            order = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])] if len(order) else order
-        return _pairs(a[order], b[order], alike[order])
+            return _pairs(a[order], b[order], alike[order])
+        return _pairs(a, b, alike)
 
     labels = labels.select(F.col("node").alias("cls"), "component")
     rows = points.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    dealt = _dealt(rows.join(open_keys.select("key"), "key"))
-    dealt = dealt.select("key", "zone", "low", "high", "own", "step", "cls", "component", "n", "unit", "counts")
-    dealt = dealt.repartition("key", "zone", "low", "high").sortWithinPartitions("key", "zone", "low", "high", "component", "n", "cls")
+    ends = F.min("component").alias("least"), F.max("component").alias("most"), F.min("cls").alias("first")
+    open_keys = rows.groupBy("key").agg(*ends).where("least < most").select("key", "first")
+    dealt = _dealt(rows.join(open_keys, "key"))
+    dealt = dealt.select("first", "key", "zone", "low", "high", "own", "step", "cls", "component", "n", "unit", "counts")
+    if not best:  # where every pair comes out, not the best alone
+        dealt = dealt.join(classes.select("cls", "fine"), "cls")
+    # trees of one group of copies mostly have the same least class: they are joined together, and a pair comes out once
+    dealt = dealt.repartition("first", "zone", "low", "high").sortWithinPartitions("first", "zone", "low", "high", "key", "component", "n", "cls")
     return dealt.mapInArrow(pairs, PAIRS)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that hold on full sets, as (a, b)."""
+    """The pairs that hold on full sets, as (a, b). A class of repeated rows may have its set several times."""
     first = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
     both = first.join(sets.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
     met = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * met >= PERCENT * (F.size("x") + F.size("y") - met)).select("a", "b")
+    return both.where(100 * met >= PERCENT * (F.size("x") + F.size("y") - met)).select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    sets = sets_of(pairs, classes, docs)
+    links = written(confirmed(pairs, sets), "confirmed")
+    drop_written(sets)
+    return links
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -335,7 +410,7 @@ def linked(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, frequent_members(docs)), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n_shingles", "unit", "counts", "prefix")).alias("first")
+    first = F.min(F.struct("doc_id", "n_shingles", "unit", "counts", "fine", "prefix")).alias("first")
     classes = full.groupBy("digest").agg(first).select("digest", "first.*")
     clashes = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("clash"))
     named = F.when(F.col("clash"), -1 - F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")).otherwise(F.col("doc_id"))
@@ -344,19 +419,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
     lead = leader_pairs(points).groupBy("b").agg(F.max_by("a", F.struct("alike", -F.col("a"))).alias("a"))
     lead = written(lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leaders")
-    met = points.select("cls").distinct().join(classes.select("cls", "doc_id", "digest"), "cls")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(texts).groupBy("digest").agg(F.first("members").alias("members"))  # an id may have other texts as well
-    sets = written(sets.join(met.select("cls", "digest"), "digest").select("cls", "members"), "sets")
-    links = written(confirmed(lead, sets), "confirmed")
-    labels, tested, used = components(links), lead, [points, lead, sets, links]
+    links = _links(lead, classes, docs)
+    labels, tested, used = components(links), lead, [points, lead, links]
     for best in (True, False):
-        rest = tree_pairs(points, labels, best)
+        rest = tree_pairs(points, labels, classes, best)
         if best:
             rest = rest.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = written(rest.join(tested, ["a", "b"], "left_anti"), "candidates")
-        more = written(confirmed(rest, sets), "confirmed")
+        more = _links(rest, classes, docs)
         used += [rest, more]
         if not more.isEmpty():
             links = links.unionByName(more)

@@ -5,7 +5,7 @@ import pytest
 
 from heronry.llm import ngram_join
 from heronry.llm.common import WordHashes
-from heronry.llm.ngram_join import Points, Tree, linked, point, shingles
+from heronry.llm.ngram_join import Points, Tree, fine_point, linked, point, shingles
 
 from .helpers import clashing, docs_of, odd_texts, words
 
@@ -104,6 +104,8 @@ def test_tree_leaves_every_pair_that_the_bound_allows(monkeypatch):
     own = Points.__new__(Points)
     own.cls, own.n = np.arange(150), np.array([len(s) for s in sets])
     own.counts = np.stack([point(s)[0] * point(s)[1].astype(np.int32) for s in sets])
+    own.fine = [fine_point(s) for s in sets]
+    own.groups = np.array([len(f) for f in own.fine])
     component = np.array([k // 40 for k in range(150)])
     got = {(int(x), int(y)) for i, j in Tree(own, 0, 150, component).joined() for x, y in zip(i, j, strict=True)}
     i, j = np.triu_indices(150, 1)
@@ -119,3 +121,18 @@ def test_points_of_long_sets_stay_bounds():
     members = np.unique(rng.integers(0, 2**63, 60_000).astype(np.uint64))
     unit, counts = point(members)
     assert unit > 1 and (unit * counts.astype(int) >= np.bincount((members % np.uint64(64)).astype(int), minlength=64)).all()
+
+
+def test_finer_points_are_bounds():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, k, replace=False)) for k in (5, 400, 900, 1500, 3000, 8000, 8500)]
+    own = Points.__new__(Points)
+    own.fine = [fine_point(s) for s in sets]
+    own.groups = np.array([len(f) for f in own.fine])
+    assert own.groups[0] == 64 and own.groups[-1] == 4096
+    i, j = np.triu_indices(len(sets), 1)
+    for x, y, most in zip(i, j, own.fine_overlap(i, j), strict=True):
+        assert len(np.intersect1d(sets[x], sets[y])) <= most
+        assert most <= min(len(sets[x]), len(sets[y])) or min(own.groups[x], own.groups[y]) == 64
+    assert fine_point(np.arange(0, 300 * 2**20, 2**20, dtype=np.uint64)) == b""  # one group holds all
