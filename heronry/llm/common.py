@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -51,6 +53,23 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows, such as whole texts, that a task hands to Python at once within small_batches().
+BATCH_ROWS = 500
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> Iterator[None]:
+    """What runs meanwhile hands at most `most` rows at once to Python; the session's setting comes back after it. A batch is
+    held by the executor and by the worker, each with room to grow, and 10,000 whole texts are tens of MB there."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def quoted(names: str | list[str]) -> str | list[str]:
     """Column names as they must be written where a dot would mean a field."""
     return "`" + names.replace("`", "``") + "`" if isinstance(names, str) else [quoted(n) for n in names]

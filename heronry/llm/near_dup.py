@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, drop_written, mixed, quoted, without_ids, written
+from .common import WordHashes, components, drop_written, mixed, quoted, small_batches, without_ids, written
 
 #: Half keys a collection, minhashes a half key: 100 tables from 40 minhashes. A pair at similarity 0.75 meets in at least
 #: one table with probability 0.9995, at 0.8 with 0.9999.
@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
        merges what belongs together from few pairs. Then every candidate that still lies between different components is
        confirmed, so none is left out.
     """
-    signed = written(signatures(docs), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = written(signatures(docs), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "halves", "brief")).alias("first")).select("digest", "first.*")
     clashes = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("clash"))
@@ -341,7 +342,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = rows.select("cls").distinct().join(classes.select("cls", "doc_id", "digest"), "cls")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met.select("doc_id").distinct(), "doc_id")
     sets = shingle_sets(texts).groupBy("digest").agg(F.first("members").alias("members"))  # an id may have other texts as well
-    sets = written(sets.join(met.select("cls", "digest"), "digest").select("cls", "members"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(sets.join(met.select("cls", "digest"), "digest").select("cls", "members"), "sets")
     links = written(confirmed(first, sets), "confirmed")
     labels = components(links)
 

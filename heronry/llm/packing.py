@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import written
+from .common import small_batches, written
 
 CAPACITY, END_ID = 2048, 1
 #: Words whose ids a task keeps.
 MOST_WORDS = 400_000
-#: Characters of text that are cut into words at a time.
-SEGMENT = 1_000_000
+#: Characters of text that are cut into words at a time; of short texts that are taken together.
+SEGMENT, TOGETHER = 1_000_000, 300_000
 #: Groups that pieces are dealt into for ranking, for each shuffle partition.
 GROUPS = 4
 
@@ -135,7 +135,7 @@ def encoded(texts: list[str], ids: WordIds) -> list[bytes]:
     return out
 
 
-def _together(batch: pa.RecordBatch, most: int = SEGMENT) -> Iterator[list[tuple]]:
+def _together(batch: pa.RecordBatch, most: int = TOGETHER) -> Iterator[list[tuple]]:
     """The (doc_id, text) rows of a batch, as many at a time as have `most` characters."""
     rows, held = [], 0
     for doc_id, text in zip(batch[0].to_pylist(), batch[1], strict=True):
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         rows.append((piece_id, doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if with_ids else None))
                         piece_id += 1
                         held += len(part) if with_ids else 100
-                        if held > 8_000_000:
+                        if held > 2_000_000:
                             yield made(rows)
                             rows, held = [], 0
             yield made(rows)
@@ -239,7 +239,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """The pieces of docs (doc_id, start, length, ids_crc32, doc_tokens) with sequence_id and offset, which are gapless in each
     sequence and in all at most `capacity` ids, and with the ids unless they aren't wanted. Ids move at most once, in the join
     that brings pieces and places together."""
-    cut = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = written(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     out = places(cut.drop("ids"), capacity)
     if with_ids:
         out = out.join(cut.select("piece_id", "ids"), "piece_id")

@@ -4,10 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from heronry.llm import packing
+from heronry.llm.common import BATCH_ROWS, small_batches, written
 from heronry.llm.packing import WordIds, encoded, fill, pack, plan, segments
 
 from .helpers import clashing, docs_of, odd_texts, words
@@ -97,3 +99,25 @@ def test_plan_covers_each_rank_once():
     assert all(max(s) == len(s) - 1 for s in seen.values())
     for parts in filled.values():
         assert sum(n for _, n in parts) <= 64 and sorted(o for o, _ in parts) == list(itertools.accumulate([0] + [n for _, n in sorted(parts)][:-1]))
+
+
+def test_few_texts_at_once(spark, monkeypatch):
+    """Whole texts come to the worker in small batches, and the session's own setting is back afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    def kept(df, what):
+        seen.extend(r["n"] for r in spark.range(3000).coalesce(1).mapInArrow(sizes, "n long").collect())
+        return written(df, what)
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(packing, "written", kept)
+    rows = pack(docs_of(spark, ["some words"] * 20), PATH).collect()
+    assert len(rows) == 20 and sum(seen) == 3000 and max(seen) <= BATCH_ROWS and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), small_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == before
