@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +39,11 @@ from .common import WordHashes, components, drop_written, mixed, written
 WORDS, PERCENT = 4, 85
 #: Coordinates of a point; children of a box.
 GROUPS, FAN = 64, 16
-#: Members in a group of the finer points, on average at most, that bound the pairs which the tree leaves.
-IN_GROUP = 4
+#: The finer points, which bound the pairs that the tree leaves, have a group for each member up to FINE groups, and beyond
+#: it one for each IN_GROUP members.
+IN_GROUP, FINE = 4, 1024
+#: Trees of a class that tell whether a pair comes out of another one; with more trees than that it may come out again.
+FIRST_KEYS = 32
 #: Documents of the sample that shows which members are frequent, how many of them have such a member at least, and how many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 #: Points of one tree in one group; those of larger trees are dealt by size, then over more groups.
@@ -82,10 +86,10 @@ def point(members: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def fine_point(members: np.ndarray) -> bytes:
-    """The members in each of so many groups (a power of two of GROUPS) that one holds IN_GROUP on average at most; empty if
-    a count passes a byte."""
+    """The members in each of so many groups (a power of two of GROUPS) that one holds one on average at most, or IN_GROUP
+    where there are FINE groups already; empty if a count passes a byte."""
     groups = GROUPS
-    while groups * IN_GROUP < len(members):
+    while groups * IN_GROUP < len(members) or groups < min(len(members), FINE):
         groups *= 2
     counts = np.bincount((members % np.uint64(groups)).astype(np.int64), minlength=groups)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
@@ -176,6 +180,11 @@ class Points:
         self.counts = counts * rows.column("unit").to_numpy().astype(np.int32)[:, None]
         self.fine = rows.column("fine").to_pylist() if "fine" in rows.column_names else [b""] * rows.num_rows
         self.groups = np.array([len(f) for f in self.fine], np.int64)
+        self.key = rows.column("key").to_numpy()
+        if "keys" in rows.column_names:
+            sizes = pc.list_value_length(rows.column("keys")).to_numpy()
+            self.keys = np.full((rows.num_rows, FIRST_KEYS), np.iinfo(np.int64).max)
+            self.keys[np.arange(FIRST_KEYS) < sizes[:, None]] = pc.list_flatten(rows.column("keys")).to_numpy()
 
     def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """At most how many members i and j have in common."""
@@ -203,14 +212,24 @@ class Points:
         return i[sized], j[sized]
 
     def once(self, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Each pair of classes once, whatever trees they meet in."""
+        """Each pair of classes once, where they meet in the tree of the smallest key."""
         i, j = (np.concatenate([h[k] for h in held]) for k in (0, 1))
         a, b = np.minimum(self.cls[i], self.cls[j]), np.maximum(self.cls[i], self.cls[j])
-        order = np.lexsort((b, a))
+        order = np.lexsort((self.key[i], b, a))
         a, b = a[order], b[order]
         order = order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])] if len(order) else order
         return i[order], j[order]
 
+    def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs of one tree also share a tree of a smaller key, as far as their first keys tell."""
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            x, y, key = self.keys[i[part]], self.keys[j[part]], self.key[i[part]]
+            for k in range(FIRST_KEYS):
+                out[part] |= (x[:, k] < key) & (x[:, k, None] == y).any(axis=1)
+        return out
+
     def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Those pairs that may be linked, and how alike they are at most, in thousandths."""
         i, j = self.fits_size(i, j)
@@ -368,17 +387,20 @@ def tree_pairs(points: DataFrame, labels: DataFrame, classes: DataFrame, best: b
             order = np.lexsort((b, -alike, a))
             order = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
             return _pairs(a[order], b[order], alike[order])
-        return _pairs(a, b, alike)
+        kept = ~own.met_before(i, j)  # a pair comes out of the first tree that it shares
+        return _pairs(a[kept], b[kept], alike[kept])
 
     labels = labels.select(F.col("node").alias("cls"), "component")
     rows = points.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ends = F.min("component").alias("least"), F.max("component").alias("most"), F.min("cls").alias("first")
     open_keys = rows.groupBy("key").agg(*ends).where("least < most").select("key", "first")
-    dealt = _dealt(rows.join(open_keys, "key"))
+    rows = rows.join(open_keys, "key")
+    dealt = _dealt(rows)
     dealt = dealt.select("first", "key", "zone", "low", "high", "own", "step", "cls", "component", "n", "unit", "counts")
     if not best:  # where every pair comes out, not the best alone
-        dealt = dealt.join(classes.select("cls", "fine"), "cls")
-    # trees of one group of copies mostly have the same least class: they are joined together, and a pair comes out once
+        keys = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))  # of one prefix
+        dealt = dealt.join(classes.select("cls", "fine"), "cls").join(keys, "cls")
+    # trees of one group of copies mostly have the same least class: they are joined together, so most pairs meet once
     dealt = dealt.repartition("first", "zone", "low", "high").sortWithinPartitions("first", "zone", "low", "high", "key", "component", "n", "cls")
     return dealt.mapInArrow(pairs, PAIRS)
 

@@ -136,3 +136,27 @@ def test_finer_points_are_bounds():
         assert len(np.intersect1d(sets[x], sets[y])) <= most
         assert most <= min(len(sets[x]), len(sets[y])) or min(own.groups[x], own.groups[y]) == 64
     assert fine_point(np.arange(0, 300 * 2**20, 2**20, dtype=np.uint64)) == b""  # one group holds all
+
+
+def test_a_pair_comes_out_of_the_first_tree_that_it_shares():
+    top = np.iinfo(np.int64).max
+    own = Points.__new__(Points)
+    trees = {-5: (1, 2), 3: (1, 2, 3), 8: (1, 2, 3), 9: (2, 3)}  # the classes of each tree
+    own.key, own.cls = (np.array(x) for x in zip(*((key, c) for key, of in trees.items() for c in of), strict=True))
+    own.keys = np.full((len(own.cls), ngram_join.FIRST_KEYS), top)
+    for row, c in enumerate(own.cls):
+        shared = [key for key, of in trees.items() if c in of]
+        own.keys[row, : len(shared)] = shared
+    i, j = np.triu_indices(len(own.cls), 1)
+    one = own.key[i] == own.key[j]
+    i, j = i[one], j[one]
+    kept = ~own.met_before(i, j)
+    first = {(1, 2): -5, (1, 3): 3, (2, 3): 3}
+    assert len(i) == 8 and {(own.cls[x], own.cls[y]): own.key[x] for x, y in zip(i[kept], j[kept], strict=True)} == first and kept.sum() == 3
+    x, y = own.once([(i[::-1], j[::-1])])  # in whatever order trees come, the smallest key stands for the pair
+    assert {(own.cls[a], own.cls[b]): own.key[a] for a, b in zip(x, y, strict=True)} == first
+
+
+def test_short_sets_have_finer_points_too():
+    members = np.random.default_rng(5).integers(0, 2**63, 150).astype(np.uint64)
+    assert len(fine_point(members)) == 256
