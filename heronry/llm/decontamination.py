@@ -88,10 +88,10 @@ def _marked(text: Column) -> Column:
     return F.trim(F.when(F.contains(numbered, F.lit(_NUMBER)), with_unit).otherwise(numbered))
 
 
-def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
+def _forms(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, plain, values, full, cased, open): the tokens of df's text word by word, the values as they stand (with their
-    marks), and the values in each form. A form is null where it can't differ from those before it; all are where there
-    are no tokens."""
+    marks), and the values in each form, apart by single spaces. A form is null where it can't differ from those before it;
+    all are where there are no tokens."""
     rows = df.select(*keys, _marked(F.col("text")).alias("marked"))
     name, number, opening = (F.contains("marked", F.lit(m)) for m in (_NAME, _NUMBER, _OPENING))
     marked, every = F.col("marked"), "".join(_SLOTS)
@@ -108,7 +108,7 @@ def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
         "cased": F.when(name & number, F.translate(form(closed, _NUMBER + _UNIT), _NAME, "")),
         "open": F.when((name | number) & opening, form(F.translate(marked, _OPENING, _NAME), every)),
     }
-    return rows.select(*keys, *(F.split(text, " ").alias(name) for name, text in forms.items()))
+    return rows.select(*keys, *(text.alias(name) for name, text in forms.items()))
 
 
 def _bare(value: Column) -> Column:
@@ -121,7 +121,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     It covers the item's plain windows `first` to `last`. line_place (its place among the values) and slots are null where
     it is plain; slots have null for each literal. Each distinct text of an item is a variant."""
     items = benchmark.where("item_id is not null").distinct().withColumn("variant", F.xxhash64("text"))
-    texts = _tokens(items, ["item_id", "variant"]).where("plain is not null")
+    texts = _forms(items, ["item_id", "variant"]).where("plain is not null")
+    texts = texts.withColumns({name: F.split(name, " ") for name in ("plain", "values", *TEMPLATES)})
     n = F.size("plain")
     texts = texts.withColumns({"plain_size": F.least(n, F.lit(WINDOW)), "n_windows": n - F.least(n, F.lit(WINDOW)) + 1})
     keys = ["item_id", "variant", "plain_size", "n_windows"]
@@ -160,10 +161,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def _met(docs: DataFrame, items: DataFrame, sizes: list[int], few: bool) -> DataFrame:
     """The items' windows that a document has: their columns with doc_id, the window's place (in values, if it has slots)
     and, if so, its values."""
-    rows = _tokens(docs, ["doc_id"])
-    forms = F.array(F.struct(F.col("plain").alias("tokens"), F.lit(False).alias("slotted")), *(F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("tokens"), F.lit(True).alias("slotted"))) for name in TEMPLATES))
-    # outer, as Spark puts a filter before an inner explode, in which all of it would be evaluated again
-    rows = rows.select("doc_id", "values", F.explode_outer(F.array_compact(forms)).alias("form")).select("doc_id", "values", "form.tokens", "form.slotted")
+    rows = _forms(docs, ["doc_id"]).withColumn("values", F.split("values", " "))
+    forms = F.array(F.struct(F.col("plain").alias("text"), F.lit(False).alias("slotted")), *(F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("text"), F.lit(True).alias("slotted"))) for name in TEMPLATES))
+    # outer, as Spark puts a filter before an inner explode, in which all of it would be evaluated again; one form is cut into
+    # tokens at a time, as those of a long text take ten times its bytes
+    rows = rows.select("doc_id", "values", F.explode_outer(F.array_compact(forms)).alias("form")).select("doc_id", "values", F.split("form.text", " ").alias("tokens"), "form.slotted")
     n = F.size("tokens")
     rows = rows.withColumn("place", F.explode_outer(F.when(n >= sizes[0], F.sequence(F.lit(0), n - sizes[0]))))
 
@@ -175,10 +177,10 @@ def _met(docs: DataFrame, items: DataFrame, sizes: list[int], few: bool) -> Data
         slotted = slotted | F.coalesce(t < _OPENING, F.lit(False))  # a placeholder; other tokens begin with letters or digits
     template = F.when((F.col("place") + F.col("size") <= n) & slotted, F.xxhash64(*tokens)).alias("template")
     rows = rows.select("doc_id", "values", "slotted", "place", template)
+    # taken before either join: what meets is held until its document is through, and mustn't hold all of its values each time
     own = F.when(F.col("slotted"), F.slice("values", F.col("place") + 1, WINDOW)).alias("own")
-    if few:
-        return rows.join(F.broadcast(items), "template").select("doc_id", "place", own, *items.columns[1:])
-    return rows.where("template is not null").select("doc_id", "place", own, "template").join(items, "template").drop("template")
+    rows = rows.where("template is not null").select("doc_id", "place", own, "template")
+    return rows.join(F.broadcast(items) if few else items, "template").drop("template")
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:

@@ -1,6 +1,10 @@
+import os
 import random
+import subprocess
+import sys
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 import regex
@@ -183,6 +187,39 @@ def test_windows_beyond_the_bound_take_time_in_proportion(spark, monkeypatch):
     assert "Join Inner" in plan
 
 
+@pytest.mark.parametrize("few", [True, False])  # broadcast, and by a shuffle of windows
+def test_windows_meet_items_without_the_whole_document(spark, few):
+    docs, items = docs_of(spark, [ITEMS[0][1]]).select("doc_id", "text"), decontamination.item_windows(benchmark(spark).select("item_id", "text"))
+    left, joins = [decontamination._met(docs, items, [WINDOW], few)._jdf.queryExecution().optimizedPlan()], []
+    while left:
+        node = left.pop()
+        left += [node.children().apply(k) for k in range(node.children().size())]
+        if node.getClass().getSimpleName() == "Join":
+            output = node.left().output()
+            joins.append({output.apply(k).name() for k in range(output.size())})
+    assert joins == [{"doc_id", "place", "own", "template"}]
+
+
+LONG = """
+import random, sys
+from heronry.llm.decontamination import contained_items
+from heronry.session import local_session
+
+rng, items = random.Random(4), ITEMS
+spark = local_session(1, 2, spark__driver__memory="600m")
+parts = [" ".join(f"w{rng.randrange(5000)}x" for _ in range(1000)) + " Otto has 7 km. " + items[k % 2][1] + ". " for k in range(400)]
+docs = spark.createDataFrame([(1, "".join(parts))], "doc_id long, text string")
+print(sorted((r["item_id"], r["coverage"]) for r in contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()))
+"""
+
+
+def test_a_long_text_with_many_copies_needs_memory_in_proportion():
+    """2.7 MB that meet 400 copies, on a heap of 600 MB."""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    done = subprocess.run([sys.executable, "-c", LONG.replace("ITEMS", repr(ITEMS[:2]))], env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.splitlines()[-1:] == ["[(1, 1.0), (2, 1.0)]"], done.stderr[-2000:]
+
+
 def test_finds_copies_and_other_numbers(spark):
     rng = random.Random(1)
     fill = lambda: words(rng, 50)
